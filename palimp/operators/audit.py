@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palimp import model
 from palimp.functions import patterns as P
 from palimp.functions.text import attr_value, domain_of, find_all, first_match
+from palimp.session import per_session
 from palimp.sources.surfaces import embedded_names, named_meta, property_meta, scripts, strip_tags
 
 
@@ -61,13 +62,13 @@ def _prefixed(label: str, values: Column, size: int = 80) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(label), F.substring(v, 1, size)))
 
 
-def with_scans(pages: DataFrame) -> DataFrame:
-    """Raw material of the scanners. Each stage is its own projection, so no pattern runs twice."""
+@per_session
+def _scan_columns() -> list[Column]:
     html, url = F.col("html"), F.col("url")
     host = first_match(url, r"(?i)^(https?://[^ \t\r\n/]+)", 1)
     titles = F.filter(F.transform(find_all(html, P.TITLE, 1), strip_tags), lambda v: v != "")
     metas = F.filter(named_meta(html), lambda m: F.btrim(attr_value(m, "content")) != "")
-    staged = pages.select(
+    return [
         F.col("page_id").alias("doc_id"),
         "url",
         "html",
@@ -92,15 +93,20 @@ def with_scans(pages: DataFrame) -> DataFrame:
         F.size(find_all(html, P.FIELD)).alias("fields"),
         F.size(find_all(html, P.HIDDEN_BLOCK)).alias("layers"),
         html.rlike(P.HIDDEN_STYLE).cast("bigint").alias("invisible"),
-    )
+    ]
+
+
+def with_scans(pages: DataFrame) -> DataFrame:
+    """Raw material of the scanners. Each stage is its own projection, so no pattern runs twice."""
     # Only web targets are links; script targets have their own finding.
-    return staged.withColumns({
+    return pages.select(*_scan_columns()).withColumns({
         "js_links": F.filter("links", lambda u: u.rlike(P.JAVASCRIPT_URL)),
         "launch": F.filter("links", lambda u: u.rlike(P.LAUNCH_URL) & ~u.rlike(P.JAVASCRIPT_URL)),
         "web": F.transform(F.filter("links", lambda u: ~u.rlike(P.JAVASCRIPT_URL)), lambda u: resolve(u, F.col("url"))),
     })
 
 
+@per_session
 def finding_array() -> Column:
     """Findings from the columns of :func:`with_scans`."""
     c = F.col

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -55,3 +56,18 @@ def checkpointed(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
     return df.checkpoint()
+
+
+def per_session(build):
+    """Build a large column expression once per application instead of once per query."""
+    built: dict[tuple, object] = {}
+
+    @functools.wraps(build)
+    def cached(*args):
+        app = SparkSession.getActiveSession().sparkContext.applicationId
+        key = (app, *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return cached

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions import patterns as P
 from palimp.functions.text import attr_value, find_all, first_match, squeeze
+from palimp.session import per_session
 
 
 def page_array(text: Column, lines_per_page: int) -> Column:
@@ -92,7 +93,9 @@ def embedded_names(html: Column) -> Column:
     )
 
 
-def surface_array(html: Column, url: Column) -> Column:
+@per_session
+def surface_array(html_name: str = "html", url_name: str = "url") -> Column:
+    html, url = F.col(html_name), F.col(url_name)
     const = lambda name: (lambda m: F.lit(name))
     one = lambda surface, page, field, value: F.array(_row(surface, page, F.lit(field), F.lit(0), value))
     lang = find_all(html, P.HTML_TAG)
@@ -118,9 +121,14 @@ def surface_array(html: Column, url: Column) -> Column:
 
 
 def surfaces_from_html(pages: DataFrame) -> DataFrame:
-    """surfaces(doc_id, page_no, surface, field, seq, value); page_no is null for document-level ones."""
+    """surfaces(doc_id, pos, page_no, surface, field, seq, value).
+
+    ``page_no`` is null for document-level surfaces, ``pos`` identifies a surface within its document
+    and ``seq`` counts within one kind. The outer form keeps the optimiser from copying the array
+    expression into a filter at the scan.
+    """
     return (
         pages.where(F.col("html").isNotNull())
-        .select(F.col("page_id").alias("doc_id"), F.explode_outer(surface_array(F.col("html"), F.col("url"))).alias("s"))
-        .select("doc_id", "s.*")
+        .select(F.col("page_id").alias("doc_id"), F.posexplode_outer(surface_array()).alias("pos", "s"))
+        .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "s.*")
     )
