@@ -3,7 +3,7 @@
 from palimp.plans import base
 
 # Importing a plan module registers its queries.
-from palimp.plans import asset_queries, audit_queries, page_queries, redact_queries  # noqa: F401
+from palimp.plans import asset_queries, audit_queries, page_queries, redact_queries, sanitize_queries  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
