@@ -24,8 +24,11 @@ def attr_value(tag: Column, names: str) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Full case folding: upper first so that sharp s becomes ss."""
-    return F.lower(F.upper(text))
+    """Full case folding: upper first so that sharp s becomes ss.
+
+    The empty concatenation keeps the optimiser from reducing lower(upper(x)) to lower(x).
+    """
+    return F.lower(F.concat(F.upper(text), F.lit("")))
 
 
 def ascii_fold(text: Column) -> Column:

@@ -20,7 +20,7 @@ from palimp.functions import grams
 from palimp.functions.text import ascii_fold, dehyphenate, escape_regex, fold, squeeze
 from palimp.operators.skew import BROADCAST_ROWS
 
-FEW_TERMS = 64
+FEW_TERMS = 256
 KINDS = ("page_text", "raw_content", "other")
 _VIEW_BREAK = "\uffff"  # not a character, so no term spans two views
 

@@ -22,7 +22,9 @@ _ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def terms(spark, sf_dir):
     """Addresses in the documents and fixed words, written once so that no later job scans for them again."""
-    found = docs(spark, sf_dir).select(F.explode(find_all(F.col("text"), P.EMAIL)).alias("term"))
+    # The cheap test spares most texts the pattern.
+    texts = docs(spark, sf_dir).where(F.contains("text", F.lit("@")))
+    found = texts.select(F.explode_outer(find_all(F.col("text"), P.EMAIL)).alias("term")).where("term is not null")
     fixed = spark.createDataFrame([(t,) for t in FIXED_TERMS], "term string")
     return verify.stage(found.unionByName(fixed).distinct(), "terms")
 

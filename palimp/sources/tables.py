@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables with much work per row.
+SPREAD_TABLES = {"documents", "pages", "conversations", "lineitem"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table that comes in fewer splits than there are cores.
+
+    A small file is often one row group and would keep one core busy. A large table has more splits than
+    cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 ASSETS_SQL = """
