@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimp.session import ship_by_value
+
+ship_by_value(__name__)
+
 LONG_NEEDLE, GRAM, WINDOW = 12, 5, 8
 
 # Odd 64-bit multipliers of the rolling and mixing hashes.

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from palimp import model
 from palimp.functions.text import has_letter, squeeze
 from palimp.operators.skew import checked_broadcast
+from palimp.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Fragment separators and literal patterns, in their order.
 SEPARATOR = r"\s*[|•·‣▪◦]\s*|\s{2,}"
@@ -165,7 +168,8 @@ def residual(masked: Column) -> Column:
 def model_column(translate: Callable[[list[str]], list[str]]):
     """A model over lists of texts as a vectorised function on ``array<string>``; null entries pass through.
 
-    A text the model fails on keeps its source and carries the error.
+    A text the model fails on keeps its source and carries the error. Being non-deterministic, the call is
+    neither repeated in nor moved by filters on its result.
     """
     @F.pandas_udf("array<struct<text:string,error:string>>")
     def run(batch: pd.Series) -> pd.Series:
@@ -185,7 +189,7 @@ def model_column(translate: Callable[[list[str]], list[str]]):
         done = iter(one(flat))
         return pd.Series([[None if t is None else dict(zip(("text", "error"), next(done))) for t in row] for row in batch])
 
-    return run
+    return run.asNondeterministic()
 
 
 def translate_lines(lines: DataFrame, translate: Callable[[list[str]], list[str]], target: str = "en") -> DataFrame:

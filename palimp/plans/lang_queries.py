@@ -8,6 +8,9 @@ from palimp.operators import lang, verify
 from palimp.plans.base import DOC_PAGES, lit, query
 from palimp.plans.page_queries import doc_pages, docs
 from palimp.sources.tables import table
+from palimp.session import ship_by_value
+
+ship_by_value(__name__)
 
 _SP = "'[ \\t\\r\\n\\f\\x0B]+'"
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -71,3 +73,8 @@ def per_session(build):
         return built[key]
 
     return cached
+
+
+def ship_by_value(module_name: str) -> None:
+    """Send a module's functions inside the tasks that use them, so that executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
