@@ -135,13 +135,18 @@ def preset_whatif(features: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def asset_summary(features: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per document: count, bytes, dpi statistics over known dpi, class counts, share of the file."""
+    """Per document: count, bytes, dpi statistics over known dpi, class counts, share of the file.
+
+    The mean is taken over whole thousandths, so it does not depend on the order of the rows.
+    """
     usable, known = ~F.col("too_large"), ~F.col("too_large") & (F.col("dpi") > 0)
     agg = features.groupBy("doc_id").agg(
         F.count_if(usable).alias("n"), F.sum("raw_size").cast("bigint").alias("bytes"),
-        F.avg(F.when(known, F.col("dpi"))).alias("avg_dpi"), F.max(F.when(known, F.col("dpi"))).alias("max_dpi"),
+        F.sum(F.when(known, F.round(F.col("dpi") * 1000).cast("bigint"))).alias("_milli"), F.count_if(known).alias("_known"), F.max(F.when(known, F.col("dpi"))).alias("max_dpi"),
         F.min(F.when(known, F.col("dpi"))).alias("min_dpi"), F.count_if(usable & F.col("is_jpeg")).alias("jpeg"),
         F.count_if(usable & F.col("is_gray")).alias("gray"), F.count_if(usable & F.col("is_mono")).alias("mono"))
+    mean = F.expr("(2 * _milli + _known) div (2 * _known)") / 1000.0
+    agg = agg.withColumn("avg_dpi", F.when(F.col("_known") > 0, mean)).drop("_milli", "_known")
     j = docs.join(agg, "doc_id", "left").fillna(0)
     return j.withColumn("pct_of_file", F.when(F.col("file_size") > 0, F.round(F.col("bytes") / F.col("file_size") * 100, 1)).otherwise(0.0))
 

@@ -63,7 +63,7 @@ def audit_image_tags(tags: DataFrame) -> DataFrame:
         finding("metadata.camera", F.size("c") > 0, F.size("c"), F.col("c")),
         finding("content.thumbnail", F.col("thumbnail"), one, none),
         finding("metadata.authorship", F.size("a") > 0, F.size("a"), F.col("a"))))
-    return staged.select("image_id", F.explode(found).alias("f")).select("image_id", "f.*")
+    return staged.select("image_id", F.explode_outer(found).alias("f")).where("f is not null").select("image_id", "f.*")
 
 
 # Finding id -> category removed by stripping.

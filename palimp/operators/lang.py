@@ -41,7 +41,7 @@ def trigrams(text: Column) -> Column:
 def train_profile(labelled: DataFrame) -> DataFrame:
     """(lang, text) to (lang, gram, n, total, logp); logp is the scaled integer log share of the gram in its language."""
     known = labelled.where(F.col("lang").isin(list(model.LANGUAGES)))
-    grams = known.select("lang", F.explode(trigrams(F.col("text"))).alias("gram"))
+    grams = known.select("lang", F.explode_outer(trigrams(F.col("text"))).alias("gram")).where("gram is not null")
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     # One row per supported language.
     totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").cast("bigint").alias("total")))
@@ -62,13 +62,12 @@ def detect_language(texts: DataFrame, keys: list[str], profile: DataFrame) -> Da
     floors = {r.lang: r.floor for r in profile.select("lang", _scaled_log(F.lit(0.5), F.col("total")).alias("floor")).distinct().collect()}
     langs = sorted(floors)
     wide = profile.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == c, F.col("logp"))).alias(c) for c in langs])
-    grams = texts.select(*keys, F.explode_outer(trigrams(F.col("text"))).alias("gram"))
-    scored = grams.join(checked_broadcast(wide), "gram", "left").groupBy(*keys).agg(*[
+    letters = F.coalesce(F.length(F.regexp_replace("text", r"\P{L}", "")), F.lit(0))
+    grams = texts.select(*keys, (letters >= MIN_DETECT_LETTERS).alias("enough"), F.explode_outer(trigrams(F.col("text"))).alias("gram"))
+    scored = grams.join(checked_broadcast(wide), "gram", "left").groupBy(*keys, "enough").agg(*[
         F.sum(F.coalesce(F.col(c), F.lit(floors[c]))).alias(c) for c in langs])
     best = F.array_max(F.array(*[F.struct(F.col(c).alias("s"), (-F.lit(i)).alias("o"), F.lit(c).alias("lang")) for i, c in enumerate(langs)]))
-    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    detectable = texts.select(*keys, (F.coalesce(letters, F.lit(0)) >= MIN_DETECT_LETTERS).alias("enough"))
-    return scored.withColumn("best", best["lang"]).join(detectable, keys).select(*keys, F.when(F.col("enough"), F.col("best")).alias("lang"))
+    return scored.select(*keys, F.when(F.col("enough"), best["lang"]).alias("lang"))
 
 
 def document_language(detected: DataFrame, doc: str, order: str) -> DataFrame:

@@ -36,7 +36,7 @@ def select_page_ranges(specs: DataFrame, doc_pages: DataFrame) -> DataFrame:
     """specs(doc_id, n_pages, spec) to pages in the order written, repeats kept; an invalid spec gives one error row."""
     parsed = specs.select("doc_id", parse_ranges(F.col("spec"), F.col("n_pages")).alias("r"))
     pages = F.flatten(F.transform("r", lambda r: F.sequence(r["start"], r["end"])))
-    wanted = parsed.where("r is not null").select("doc_id", F.posexplode(pages).alias("pos", "page_no"))
+    wanted = parsed.select("doc_id", F.posexplode_outer(pages).alias("pos", "page_no")).where("page_no is not null")
     picked = wanted.join(doc_pages, ["doc_id", "page_no"]).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "page_no", "text", F.lit("ok").alias("status"))
     bad = parsed.where("r is null").select(
@@ -54,7 +54,7 @@ def page_groups(docs: DataFrame, mode: str, every_n: int = 1) -> DataFrame:
         step = 1 if mode == "all" else every_n
         found = F.transform(F.sequence(F.lit(1).cast("bigint"), n, F.lit(step).cast("bigint")), lambda s: F.struct(
             s.alias("start"), F.least(s + step - 1, n).alias("end")))
-    return docs.select("doc_id", F.posexplode(found).alias("pos", "r")).select(
+    return docs.select("doc_id", F.posexplode_outer(found).alias("pos", "r")).where("r is not null").select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("grp"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 

@@ -81,13 +81,13 @@ def preset_whatif(spark, sf_dir):
     return ops.preset_whatif(features(spark, sf_dir), docs(spark, sf_dir))
 
 
-@query("asset_summary", f"""with {_FEATURES}, {_DOCS}, a as (select doc_id, count(*) filter (not too_large) as n, sum(raw_size) as bytes, avg(dpi) filter (not too_large and dpi > 0) as avg_dpi, max(dpi) filter (not too_large and dpi > 0) as max_dpi,
+@query("asset_summary", f"""with {_FEATURES}, {_DOCS}, a as (select doc_id, count(*) filter (not too_large) as n, sum(raw_size) as bytes, (2 * sum(cast(round(dpi * 1000) as bigint)) filter (not too_large and dpi > 0) + count(*) filter (not too_large and dpi > 0)) // (2 * count(*) filter (not too_large and dpi > 0)) / 1000.0::double as avg_dpi, max(dpi) filter (not too_large and dpi > 0) as max_dpi,
   min(dpi) filter (not too_large and dpi > 0) as min_dpi, count(*) filter (not too_large and is_jpeg) as jpeg, count(*) filter (not too_large and is_gray) as gray, count(*) filter (not too_large and is_mono) as mono from features group by doc_id)
- select d.doc_id, cast(file_size as bigint) as file_size, coalesce(n, 0) as n, cast(coalesce(bytes, 0) as bigint) as bytes, round(coalesce(avg_dpi, 0), 3) as avg_dpi, round(coalesce(max_dpi, 0), 3) as max_dpi, round(coalesce(min_dpi, 0), 3) as min_dpi,
+ select d.doc_id, cast(file_size as bigint) as file_size, coalesce(n, 0) as n, cast(coalesce(bytes, 0) as bigint) as bytes, coalesce(avg_dpi, 0) as avg_dpi, round(coalesce(max_dpi, 0), 3) as max_dpi, round(coalesce(min_dpi, 0), 3) as min_dpi,
   coalesce(jpeg, 0) as jpeg, coalesce(gray, 0) as gray, coalesce(mono, 0) as mono, round(coalesce(bytes, 0) / file_size::double * 100, 1) as pct_of_file from docs d left join a on d.doc_id = a.doc_id""")
 def asset_summary(spark, sf_dir):
     out = ops.asset_summary(features(spark, sf_dir), docs(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 3) for c in ("avg_dpi", "max_dpi", "min_dpi")})
+    return out.withColumns({c: F.round(c, 3) for c in ("max_dpi", "min_dpi")})
 
 
 @query("asset_outcome_stats", f"""with {_PLANNED} select preset, count(*) as images_total, count(*) filter (not too_large and skip is null) as recompressed, count(*) filter (not too_large and skip is null and scale < 0.95::double) as downscaled,

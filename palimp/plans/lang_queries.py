@@ -75,7 +75,7 @@ _LINES = "lines as (select doc_id, lang, cast(i - 1 as bigint) as line_no, line
 
 
 def lines(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    rows = docs(spark, sf_dir).select("doc_id", "lang", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "text")).where("text is not null")
     return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -86,7 +86,7 @@ _PARTS = f"""{_LINES}, parts as (select doc_id, lang, line_no, cast(i - 1 as big
 
 @query("split_fragments", f"with {_PARTS} select doc_id, line_no, seq, part, sep from parts")
 def split_fragments(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(lang.fragments(F.col("text"))).alias("seq", "f"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode_outer(lang.fragments(F.col("text"))).alias("seq", "f"))
     return rows.select("doc_id", "line_no", F.col("seq").cast("bigint").alias("seq"), "f.part", "f.sep")
 
 

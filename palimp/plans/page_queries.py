@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimp.functions import text as tx
-from palimp.operators import compare, dedup, pages
+from palimp.operators import batch, compare, dedup, pages
 from palimp.plans import base
 from palimp.plans.audit_queries import META_SQL, metadata_columns
 from palimp.plans.base import DOC_PAGES, SURFACES, query
@@ -123,7 +123,7 @@ def filter_surfaces(spark, sf_dir):
 @query("letter_gate", """select doc_id, cast(i - 1 as bigint) as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line,
  generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(line, '\\p{L}')""")
 def letter_gate(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.where(tx.has_letter(F.col("line"))).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
@@ -279,7 +279,7 @@ def content_hash_dedup(spark, sf_dir, **skew):
  r as (select *, row_number() over (partition by obj order by doc_id, page_no, i) as rn from h)
  select obj, doc_id, cast(page_no as bigint) as page_no, cast(i as bigint) as line_no, bytes from r where rn = 1""")
 def distinct_objects(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("line is not null")
     rows = lines.select(
         F.sha2("line", 256).alias("obj"), "doc_id", (F.floor(F.col("i") / 10) + 1).cast("bigint").alias("page_no"),
         (F.col("i") + 1).cast("bigint").alias("line_no"), F.length("line").cast("bigint").alias("bytes"))
@@ -289,7 +289,7 @@ def distinct_objects(spark, sf_dir):
 @query("first_occurrence", """with l as (select doc_id, unnest(string_split(text, chr(10))) as item, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
  select doc_id, item, cast(min(i) - 1 as bigint) as seq, count(*) as occurrences from l group by doc_id, item""")
 def first_occurrence(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "item"))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("seq", "item")).where("item is not null")
     return dedup.first_occurrence(lines.withColumn("seq", F.col("seq").cast("bigint")), ["doc_id", "item"], "seq")
 
 
@@ -344,16 +344,7 @@ def saved_stats(spark, sf_dir):
  round(100.0::double * (sum(original_size - compressed_size) filter (status = 'ok')) / (sum(original_size) filter (status <> 'error')), 4) as saved_pct from outcomes""")
 def batch_summary(spark, sf_dir):
     s = F.col("status")
-    return batch_totals(outcomes(spark, sf_dir).withColumn("saved", F.when(s == "ok", F.col("original_size") - F.col("compressed_size"))))
-
-
-def batch_totals(rows):
-    s = F.col("status")
-    agg = rows.agg(
-        F.count_if(s == "ok").alias("ok"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "error").alias("failed"),
-        F.sum(F.when(s != "error", F.col("original_size"))).cast("bigint").alias("total_original"),
-        F.sum("saved").cast("bigint").alias("total_saved"))
-    return agg.withColumn("saved_pct", F.round(F.lit(100.0) * F.col("total_saved") / F.col("total_original"), 4))
+    return batch.batch_totals(outcomes(spark, sf_dir).withColumn("saved", F.when(s == "ok", F.col("original_size") - F.col("compressed_size"))))
 
 
 @query("batch_isolation", f"""with {_OUTCOME_SQL} select doc_id, case when status = 'error' then 'error' else 'ok' end as status,
@@ -377,11 +368,4 @@ def overlay_metadata(spark, sf_dir):
         F.max(F.when(F.col("toxic") == 1, "flagged").otherwise("")).alias("new_source"),
         F.max(F.when(F.col("quality") == 1, "reviewed").otherwise("")).alias("new_lang"))
     old = docs(spark, sf_dir).select("doc_id", "source", "lang")
-    return overlay(old, updates, ["source", "lang"])
-
-
-def overlay(old, updates, fields):
-    """A new value wins only where it is not empty."""
-    joined = old.join(updates, "doc_id", "left")
-    return joined.select("doc_id", *[
-        F.when(F.length("new_" + f) > 0, F.col("new_" + f)).otherwise(F.col(f)).alias(f) for f in fields])
+    return batch.overlay(old, updates, ["source", "lang"])

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_split(pages: DataFrame, path: str, folder: str, files_per_folder: int = 1) -> None:
+def write_split(pages: DataFrame, path: str, folder: str) -> None:
     """pages(folder column, out_name, page_no, text) written under one directory per value of ``folder``.
 
-    Rows are spread by output name, so a folder that holds most outputs is written by many tasks.
+    A range of (folder, out_name) goes to each task: a task touches few folders, and a folder that holds
+    most outputs is shared by many tasks.
     """
-    spread = pages.repartition("out_name") if files_per_folder != 1 else pages
-    spread.sortWithinPartitions(folder, "out_name", "page_no").write.partitionBy(folder).parquet(path)
+    ranged = pages.repartitionByRange(folder, "out_name")
+    ranged.sortWithinPartitions(folder, "out_name", "page_no").write.partitionBy(folder).parquet(path)
 
 
 def write_text(extracted: DataFrame, path: str) -> None:
