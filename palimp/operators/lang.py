@@ -63,7 +63,9 @@ def detect_language(texts: DataFrame, keys: list[str], profile: DataFrame) -> Da
     langs = sorted(floors)
     wide = profile.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == c, F.col("logp"))).alias(c) for c in langs])
     letters = F.coalesce(F.length(F.regexp_replace("text", r"\P{L}", "")), F.lit(0))
-    grams = texts.select(*keys, (letters >= MIN_DETECT_LETTERS).alias("enough"), F.explode_outer(trigrams(F.col("text"))).alias("gram"))
+    # Both are made before the explosion, so that it carries a flag and not the text.
+    made = texts.select(*keys, (letters >= MIN_DETECT_LETTERS).alias("enough"), trigrams(F.col("text")).alias("grams"))
+    grams = made.select(*keys, "enough", F.explode_outer("grams").alias("gram"))
     scored = grams.join(checked_broadcast(wide), "gram", "left").groupBy(*keys, "enough").agg(*[
         F.sum(F.coalesce(F.col(c), F.lit(floors[c]))).alias(c) for c in langs])
     best = F.array_max(F.array(*[F.struct(F.col(c).alias("s"), (-F.lit(i)).alias("o"), F.lit(c).alias("lang")) for i, c in enumerate(langs)]))
