@@ -70,10 +70,8 @@ def mix(
     names = [n for n in docs.columns if n not in ("copy", "order_key")]
     rates = repetition_rates(docs, weights, epochs, source)
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    one = lambda part: F.size(F.filter("__cdf", lambda c: c <= _uniform(F.lit(str(seed)), ident, part.cast("string"))))
-    drawn = F.when(F.col("__parts") == 1, one(F.lit(1))).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + one(part))
-    )
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda part: _uniform(F.lit(str(seed)), ident, part.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     rates = F.broadcast(rates.select(*[F.col(c).alias(f"__{c}") for c in ("class", "parts", "cdf")]))  # at most one row per weight
     counted = docs.select(*names).join(rates, source_class(source, weights) == F.col("__class")).withColumn("__n", drawn)
     copies = counted.where("__n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
