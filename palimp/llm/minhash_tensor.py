@@ -5,10 +5,11 @@ hashes are computed and table (i, j) is keyed by the pair of sub-key i of the fi
 M^2 tables. Two sets of similarity s meet in some table with probability (1 - (1 - s^R)^M)^2.
 
 Rows are first reduced to one vertex per distinct shingle set. Vertices that meet are then compared:
-* each vertex goes to the leader that it meets in most tables; the vertices of a leader, in slices of bounded size that
-  all hold the leader, are compared with each other in one place and give a forest of links;
-* what meets in a table but is still apart, neither joined by links nor compared in a slice, is listed as pairs and
-  compared too, so groups larger than a slice lose nothing.
+* each vertex goes to the few leaders that it meets in most tables; the vertices of a leader, in slices of bounded size
+  that all hold the leader, are compared with each other in one place and give a forest of links;
+* a vertex that meets one of another component in a slice where it was not compared visits that slice and is compared
+  with all of it, so groups larger than a slice lose nothing. To meet in a sub-key of the first collection is enough
+  here, which holds whenever a table is shared. Only (vertex, slice) rows are made, no pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimp.llm.base import query, staged, table, text_of
@@ -27,11 +28,11 @@ from palimp.session import ship_by_value
 
 ship_by_value(__name__)
 
-#: Hashes of a sub-key, and sub-keys of a collection: 48 minima for 144 tables. At a similarity of 0.8 a pair is missed
-#: with a probability of 0.00001, at 0.85 of 0.0000004.
-R, M = 2, 12
-#: Vertices compared with each other in one task.
-SLICE = 256
+#: Hashes of a sub-key, and sub-keys of a collection: 96 minima for 256 tables. At a similarity of 0.8 a pair is missed
+#: with a probability of 0.00002, at 0.85 of 0.0000006; documents that share a fifth of their text seldom meet.
+R, M = 3, 16
+#: Vertices compared with each other in one task, and leaders that a vertex goes to.
+SLICE, HOMES = 256, 3
 _SEEDS = mixed(np.arange(1, 2 * M * R + 1, dtype=U)) | U(1)
 
 
@@ -77,19 +78,13 @@ def _with_vertex(words: int):
     return add
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 |a and b| >= percent |a or b|, of sorted distinct shingles."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(both) - common)
-
-
-def forest(sets: list[np.ndarray], pairs: Iterator[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
-    """Links among the pairs that join what no earlier link joins."""
+def forest(sets: list[np.ndarray], guests: list[int], hosts: list[int], percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) of guests with hosts, 100 |i and j| >= percent |i or j|, that join what neither the given groups nor an
+    earlier link joins. Common shingles are counted for all hosts at once by an index of the hosts' shingles."""
     up = list(range(len(sets)))
+    if groups:
+        first: dict[int, int] = {}
+        up = [first.setdefault(g, i) for i, g in enumerate(groups)]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -97,12 +92,23 @@ def forest(sets: list[np.ndarray], pairs: Iterator[tuple[int, int]], percent: in
             i = up[i]
         return i
 
+    if not guests or not hosts:
+        return []
+    lengths = np.array([len(sets[j]) for j in hosts])
+    index = np.concatenate([sets[j] for j in hosts])
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], np.repeat(np.arange(len(hosts)), lengths)[order]
     links = []
-    for i, j in pairs:
-        a, b = root(i), root(j)
-        if a != b and linked(sets[i], sets[j], percent):
-            up[a] = b
-            links.append((i, j))
+    for i in guests:
+        start, end = np.searchsorted(index, sets[i], "left"), np.searchsorted(index, sets[i], "right")
+        n = end - start
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(hosts))
+        for j in np.flatnonzero((common > 0) & (100 * common >= percent * (len(sets[i]) + lengths - common))).tolist():
+            a, b = root(i), root(hosts[j])
+            if a != b:
+                up[a] = b
+                links.append((i, hosts[j]))
     return links
 
 
@@ -117,32 +123,36 @@ def _compare_slice(words: int, percent: int):
     def compare(group: pa.Table) -> pa.Table:
         vertices = group["vertex"].to_pylist()
         sets = [shingle_set(t.encode("utf-8", "replace"), words) for t in group["text"].to_pylist()]
-        return _link_table(vertices, forest(sets, ((i, j) for i in range(len(sets)) for j in range(i)), percent))
+        return _link_table(vertices, forest(sets, [*range(len(sets))], [*range(len(sets))], percent))
 
     return compare
 
 
-def _compare_pairs(words: int, percent: int):
-    def compare(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        vertices = texts["vertex"].to_pylist()
-        at = {v: i for i, v in enumerate(vertices)}
-        sets = [shingle_set(t.encode("utf-8", "replace"), words) for t in texts["text"].to_pylist()]
-        wanted = ((at[a], at[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()) if a in at and b in at)
-        return _link_table(vertices, forest(sets, wanted, percent))
+def _compare_visitors(words: int, percent: int):
+    def compare(group: pa.Table) -> pa.Table:
+        vertices, visiting = group["vertex"].to_pylist(), group["visiting"].to_pylist()
+        sets = [shingle_set(t.encode("utf-8", "replace"), words) for t in group["text"].to_pylist()]
+        guests, hosts = [i for i, v in enumerate(visiting) if v], [i for i, v in enumerate(visiting) if not v]
+        return _link_table(vertices, forest(sets, guests, hosts, percent, group["component"].to_pylist()))
 
     return compare
 
 
-def _table_rows(classes: DataFrame) -> DataFrame:
-    """key, vertex, n: the tables in which a vertex is not alone. Sub-keys that occur once are dropped before pairing."""
-    sub = classes.select("vertex", "n_shingles", F.posexplode("keys").alias("pos", "sub"))
+def _shared_sub_keys(classes: DataFrame) -> DataFrame:
+    """vertex, first, second: the sub-keys of either collection that another vertex has too, of vertices with both."""
+    sub = classes.select("vertex", F.posexplode("keys").alias("pos", "sub"))
     shared = sub.groupBy("pos", "sub").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    sides = sub.join(shared, ["pos", "sub"]).groupBy("vertex", "n_shingles").agg(
+    sides = sub.join(shared, ["pos", "sub"]).groupBy("vertex").agg(
         F.collect_list(F.when(F.col("pos") < M, F.struct("pos", "sub"))).alias("first"),
         F.collect_list(F.when(F.col("pos") >= M, F.struct("pos", "sub"))).alias("second"),
     )
-    rows = sides.select("vertex", "n_shingles", F.explode("first").alias("f"), "second").select("vertex", "n_shingles", "f", F.explode("second").alias("s"))
-    rows = staged(rows.select(F.xxhash64("f.pos", "f.sub", "s.pos", "s.sub").alias("key"), "vertex", "n_shingles"), "tables")
+    return sides.where((F.size("first") > 0) & (F.size("second") > 0))
+
+
+def _tables(sides: DataFrame) -> DataFrame:
+    """key, vertex, leader: the tables in which a vertex is not alone, keyed by pairs of sub-keys."""
+    rows = sides.select("vertex", F.explode("first").alias("f"), "second").select("vertex", "f", F.explode("second").alias("s"))
+    rows = staged(rows.select(F.xxhash64("f.pos", "f.sub", "s.pos", "s.sub").alias("key"), "vertex"), "tables")
     full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("vertex", F.xxhash64("vertex")).alias("leader")).where("n > 1").drop("n")
     return rows.join(full, "key")
 
@@ -160,18 +170,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     signed = staged(rows.mapInArrow(_sign(words), "doc_id long, n_shingles long, vertex long, keys array<long>"), "signatures")
     classes = signed.where("vertex is not null").groupBy("vertex", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"))
     classes = staged(classes, "classes")
-    tables = staged(_table_rows(classes.select("vertex", "n_shingles", "keys")), "tables")
+    sides = staged(_shared_sub_keys(classes.select("vertex", "keys")), "sub-keys")
 
-    # The leader that a vertex meets most often, and its slice among the vertices of that leader.
-    met = tables.groupBy("vertex", "leader").agg(F.count("*").alias("n"))
-    homes = met.groupBy("vertex").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+    # The leaders that a vertex meets most often, and its slice among the vertices of each.
+    met = _tables(sides).groupBy("vertex", "leader").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("vertex").orderBy(F.desc("n"), "leader")  # at most one row per table
+    homes = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HOMES).drop("n")
     sizes = homes.groupBy("leader").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    homes = homes.join(sizes, "leader").select("vertex", F.xxhash64("leader", F.pmod(F.xxhash64("vertex"), "slices")).alias("slice"), "leader")
-    homes = staged(homes, "homes")
+    slice_of = F.xxhash64("leader", F.pmod(F.xxhash64("vertex"), "slices"))
+    homes = staged(homes.join(sizes, "leader").select("vertex", slice_of.alias("slice"), "leader", "rank"), "homes")
 
     # One text per vertex that meets another.
     with_vertex = rows.mapInArrow(_with_vertex(words), "doc_id long, text string, vertex long")
-    wanted = classes.join(homes.select("vertex"), "vertex").select(F.col("vertex").alias("v"), "first_id")
+    wanted = classes.join(homes.where("rank = 1").select("vertex"), "vertex").select(F.col("vertex").alias("v"), "first_id")
     texts = with_vertex.join(wanted, (F.col("vertex") == F.col("v")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("vertex", "text")
     texts = staged(texts, "texts")
 
@@ -179,8 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     near = members.join(texts, "vertex").groupBy("slice").applyInArrow(_compare_slice(words, percent), LINKS)
     links = staged(near, "links")
 
-    pairs = _pairs_apart(tables, homes, connected_components(links), percent)
-    far = _compare_blocks(pairs, texts, words, percent)
+    far = _visits(sides, homes, connected_components(links), texts, words, percent)
     components = connected_components(staged(links.unionByName(far), "links"))
 
     of = classes.join(components, F.col("vertex") == F.col("node"), "left").withColumn("component", F.coalesce("component", "vertex"))
@@ -191,30 +201,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _pairs_apart(tables: DataFrame, homes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """a, b, slice of b: vertices that meet in a table, are in different components and were not compared in a slice.
+def _places(homes: DataFrame) -> DataFrame:
+    """vertex, slice: each vertex in one slice. Leaders are followed a few steps, so that those who meet stand in few slices;
+    where a vertex stands decides what is compared at once, not what is compared."""
+    to = homes.groupBy("vertex").agg(F.min_by("leader", F.xxhash64("leader")).alias("root"))
+    for _ in range(3):
+        next_of = to.select(F.col("vertex").alias("v"), F.col("root").alias("r"))
+        to = staged(to.join(next_of, F.col("root") == F.col("v"), "left").select("vertex", F.coalesce("r", "root").alias("root")), "roots")
+    sizes = to.groupBy("root").agg(F.ceil(F.count("*") / (2 * SLICE)).alias("slices"))
+    return to.join(sizes, "root").select("vertex", F.xxhash64("root", F.pmod(F.xxhash64("vertex"), "slices")).alias("slice"))
+
+
+def _visits(sides: DataFrame, homes: DataFrame, components: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between vertices that meet, are in different components and were not compared in a slice.
 
-    In each table the largest component stands on one side only, so a table of one component gives no pair.
+    In each sub-key the vertices of the largest component stay, those of the others visit; a sub-key of one component
+    makes no visit. Visitors of a slice come in parts of bounded size.
     """
-    place = homes.select("vertex", "slice").join(components, F.col("vertex") == F.col("node"), "left")
-    place = place.select("vertex", "slice", F.coalesce("component", "vertex").alias("component"))
-    rows = tables.select("key", "vertex", "n_shingles").join(place, "vertex")
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    place = _places(homes).join(components, F.col("vertex") == F.col("node"), "left")
+    place = staged(place.select("vertex", "slice", F.coalesce("component", "vertex").alias("component")), "places")
+    rows = sides.where("vertex is not null").join(place, "vertex").select("vertex", "slice", "component", F.explode("first").alias("key"))
+    there = rows.groupBy("key", "component", "slice").agg(F.count("*").alias("n"))
+    sizes = there.groupBy("key", "component").agg(F.sum("n").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = staged(rows.join(largest, "key").withColumn("minor", F.col("component") != F.col("largest")), "apart")
-    a = rows.where("minor").select("key", *[F.col(c).alias(f"a_{c}") for c in ("vertex", "slice", "component", "n_shingles")])
-    met = a.join(rows, "key").where("component <> a_component and slice <> a_slice and (not minor or vertex < a_vertex)")
-    near = met.where(100 * F.least("n_shingles", "a_n_shingles") >= percent * F.greatest("n_shingles", "a_n_shingles"))
-    return staged(near.select(F.col("a_vertex").alias("a"), F.col("vertex").alias("b"), "slice").distinct(), "pairs")
-
-
-def _compare_blocks(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among the pairs, compared in blocks of one slice of b and a bounded part of a."""
-    many = pairs.select("slice", "a").distinct().groupBy("slice").agg(F.ceil(F.count("*") / SLICE).alias("parts"))
-    pairs = staged(pairs.join(many, "slice").select("a", "b", F.xxhash64("slice", F.pmod(F.xxhash64("a"), "parts")).alias("block")), "blocks")
-    members = pairs.select("block", F.col("a").alias("vertex")).unionByName(pairs.select("block", F.col("b").alias("vertex"))).distinct()
-    held = members.join(texts, "vertex").select("vertex", "text", F.col("block").alias("held"))
-    return held.groupBy("held").cogroup(pairs.groupBy("block")).applyInArrow(_compare_pairs(words, percent), LINKS)
+    apart = staged(rows.join(largest, "key"), "apart")
+    guests = apart.where("component <> largest").select("key", F.col("vertex").alias("guest"), F.col("component").alias("own"))
+    hosts = apart.groupBy("key", "slice").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    visits = guests.join(hosts, "key").where("low <> own or high <> own").select("guest", "slice").distinct()
+    visits = staged(visits, "visits")
+
+    parts = visits.groupBy("slice").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("guest"), "parts").cast("int")
+    come = visits.join(parts, "slice").select("slice", part.alias("part"), F.col("guest").alias("vertex"), F.lit(True).alias("visiting"))
+    live = place.select("slice", "vertex").join(parts, "slice")
+    live = live.select("slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vertex", F.lit(False).alias("visiting"))
+    held = come.unionByName(live).join(place.select("vertex", "component"), "vertex").join(texts, "vertex")
+    return held.groupBy("slice", "part").applyInArrow(_compare_visitors(words, percent), LINKS)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
