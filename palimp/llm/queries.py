@@ -1,5 +1,5 @@
 """Registers the queries of this package."""
 
 # Importing an operator registers its query.
-from palimp.llm import content_dedup, line_dedup, maxscore, minhash_tensor, mixing, quote_linking, token_counts, toxicity  # noqa: F401
+from palimp.llm import content_dedup, line_dedup, maxscore, minhash_tensor, mixing, ppm, quote_linking, token_counts, toxicity  # noqa: F401
 from palimp.llm.base import ORACLES, QUERIES  # noqa: F401
