@@ -83,6 +83,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, key: str = "d
         F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("miss")),
     ).select("digest", "text")
     encoded = to_encode.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens long")
+    encoded = encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows that repeat an id and its text
     encoded.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
