@@ -110,7 +110,7 @@ def with_scans(pages: DataFrame) -> DataFrame:
 def finding_array() -> Column:
     """Findings from the columns of :func:`with_scans`."""
     c = F.col
-    domains = F.slice(F.array_distinct(F.transform("web", domain_of)), 1, model.MAX_FINDING_ITEMS)
+    domains = F.array_distinct(F.transform("web", domain_of))
     plain = F.exists("web", lambda u: u.rlike(r"(?i)^http://"))
     scanned = F.array(
         _finding("meta.docinfo", F.size("info"), F.array_distinct("info")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,10 @@ def sanitize_documents(pages: DataFrame, options: dict[str, bool]) -> DataFrame:
     return df.select("doc_id", "html", removed.alias("removed"), reduce(lambda a, b: a + b, totals.values()).alias("total"))
 
 
-def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int = model.MAX_CHAIN_DEPTH) -> DataFrame:
+def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from heads(doc_id, node_id, kind) by edges(doc_id, node_id, next_id, kind).
 
-    One join per step on (doc_id, node_id), at most ``max_depth`` steps. A node already visited is not
+    One join per step on (doc_id, node_id), to the end of the chains unless ``max_depth`` is given. A node already visited is not
     entered again, so cycles end. Each frontier is checkpointed: it is read by the next step and by the
     result, and a lost executor does not replay the walk.
     """
@@ -80,7 +81,7 @@ def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int = model.MAX_CH
     kinds = checkpointed(kinds)
     frontier = checkpointed(heads.select("doc_id", "node_id", F.lit(0).cast("bigint").alias("depth"), F.col("kind").alias("path"), "kind").distinct())
     reached = [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         visited = reduce(lambda a, b: a.unionByName(b), [r.select("doc_id", F.col("node_id").alias("next_id")) for r in reached])
         stepped = frontier.join(links, ["doc_id", "node_id"]).join(visited, ["doc_id", "next_id"], "left_anti").join(kinds, ["doc_id", "next_id"])
         frontier = checkpointed(stepped.groupBy("doc_id", F.col("next_id").alias("node_id")).agg(
@@ -94,7 +95,7 @@ def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int = model.MAX_CH
 ROOT = -1
 
 
-def excise_chain(edges: DataFrame, heads: DataFrame, flagged: list[str], max_depth: int = model.MAX_EXCISE_DEPTH) -> tuple[DataFrame, DataFrame]:
+def excise_chain(edges: DataFrame, heads: DataFrame, flagged: list[str], max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Drop flagged nodes and hang their surviving tail on the node before them.
 
     Returns links(doc_id, node_id, next_id), where node -1 stands before the head, and drops by kind.
@@ -109,13 +110,14 @@ def excise_chain(edges: DataFrame, heads: DataFrame, flagged: list[str], max_dep
     pending = good_sources.unionByName(starts)
     done = [pending.where("bad is null").select("doc_id", "node_id", "next_id")]
     pending = checkpointed(pending.where("bad").select("doc_id", "node_id", "next_id"))
-    for _ in range(max_depth + 1):
-        if pending.isEmpty():
-            break
+    seen = [pending]  # flagged nodes in a cycle are followed once
+    while not pending.isEmpty():
         onward = inside.select("doc_id", F.col("node_id").alias("next_id"), F.col("next_id").alias("after"), "bad")
         moved = checkpointed(pending.join(onward, ["doc_id", "next_id"]).select("doc_id", "node_id", F.col("after").alias("next_id"), "bad").distinct())
         done.append(moved.where("bad is null").select("doc_id", "node_id", "next_id"))
-        pending = moved.where("bad").select("doc_id", "node_id", "next_id")
+        passed = reduce(lambda a, b: a.unionByName(b), seen)
+        pending = checkpointed(moved.where("bad").select("doc_id", "node_id", "next_id").join(passed, ["doc_id", "node_id", "next_id"], "left_anti"))
+        seen.append(pending)
     links = reduce(lambda a, b: a.unionByName(b), done).distinct()
     drops = walked.where(F.col("kind").isin(flagged)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dropped"))
     return links, drops

@@ -160,7 +160,7 @@ _FOUND = "found as (" + "\n union all ".join([
     _finding(4, "actions.autorun", "len(handlers) + len(refresh)", distinct_in_order(_AUTO_ITEMS)),
     _finding(5, "actions.remote", "len(frames)", distinct_in_order(_prefixed("frame: ", "frames"))),
     _finding(6, "forms.submit", "len(forms)", distinct_in_order(_prefixed("action: ", "forms"))),
-    _finding(7, "links.uri", "len(web)", f"list_slice({distinct_in_order(_DOMAINS)}, 1, 50)", f"case when {_PLAIN} then 'medium' else 'low' end"),
+    _finding(7, "links.uri", "len(web)", distinct_in_order(_DOMAINS), f"case when {_PLAIN} then 'medium' else 'low' end"),
     _finding(8, "files.embedded", "len(parts)", distinct_in_order(_PART_ITEMS)),
     _finding(9, "forms.acro", "fields"),
     _finding(10, "content.ocg", "layers"),

@@ -75,7 +75,7 @@ def _chain(spark, sf_dir):
 
 @query("chain_walk", """with recursive nodes as (select conv_id as doc_id, turn as node_id, min(role) as kind from conversations group by all),
  walk as (select doc_id, node_id, cast(0 as bigint) as depth, kind as path, kind from nodes where node_id = 0
-  union all select w.doc_id, n.node_id, w.depth + 1, concat(w.path, ' > ', n.kind), n.kind from walk w join nodes n on n.doc_id = w.doc_id and n.node_id = w.node_id + 1 where w.depth < 32)
+  union all select w.doc_id, n.node_id, w.depth + 1, concat(w.path, ' > ', n.kind), n.kind from walk w join nodes n on n.doc_id = w.doc_id and n.node_id = w.node_id + 1)
  select doc_id, node_id, depth, path from walk""")
 def chain_walk(spark, sf_dir):
     edges, heads = _chain(spark, sf_dir)
@@ -83,7 +83,7 @@ def chain_walk(spark, sf_dir):
 
 
 @query("excise_chain", """with recursive nodes as (select conv_id as doc_id, turn as node_id, min(role) as kind from conversations group by all),
- walk as (select doc_id, node_id, kind from nodes where node_id = 0 union all select w.doc_id, n.node_id, n.kind from walk w join nodes n on n.doc_id = w.doc_id and n.node_id = w.node_id + 1 where w.node_id < 30),
+ walk as (select doc_id, node_id, kind from nodes where node_id = 0 union all select w.doc_id, n.node_id, n.kind from walk w join nodes n on n.doc_id = w.doc_id and n.node_id = w.node_id + 1),
  alive as (select doc_id, node_id from walk where kind <> 'system' union all select distinct doc_id, -1 from walk),
  links as (select doc_id, node_id, lead(node_id) over (partition by doc_id order by node_id) as next_id from alive),
  drops as (select doc_id, count(*) as dropped from walk where kind = 'system' group by doc_id)
