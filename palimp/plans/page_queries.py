@@ -177,15 +177,15 @@ def toc_ranges(spark, sf_dir, **chunking):
     return pages.toc_ranges(toc, last, max_level=2, **chunking).select("doc_id", "seq", "level", "page", "end_page")
 
 
-_HEAD = "substr(string_split(text, chr(10))[1], 1, 90)"
+_HEAD = "string_split(text, chr(10))[1]"
 _TITLE_SQL = """case when trim(substr(trim(regexp_replace({x}, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '. _'), 1, 80)) = '' then 'untitled' else substr(trim(regexp_replace({x}, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '. _'), 1, 80) end"""
 
 
-@query("sanitize_title", f"""select page_id as doc_id, {_TITLE_SQL.format(x='url')} as from_url, {_TITLE_SQL.format(x='substr(html, 1, 200)')} as from_html from pages""")
+@query("sanitize_title", f"""select page_id as doc_id, {_TITLE_SQL.format(x='url')} as from_url, {_TITLE_SQL.format(x='html')} as from_html from pages""")
 def sanitize_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("doc_id"), tx.sanitize_title(F.col("url")).alias("from_url"),
-        tx.sanitize_title(F.substring("html", 1, 200)).alias("from_html"))
+        tx.sanitize_title(F.col("html")).alias("from_html"))
 
 
 _TEMPLATES = ["{name}_page_{start}", "{filename}-{start}-{end}", "{title}_{n}", "{name}_{missing}", "{name"]
@@ -196,7 +196,7 @@ _TEMPLATES = ["{name}_page_{start}", "{filename}-{start}-{end}", "{title}_{n}",
  select doc_id, cast(s as bigint) as start, cast(e as bigint) as "end", concat(case k when 0 then concat(source, '_page_', s) when 1 then concat(source, '-', s, '-', e)
   when 2 then concat(title, '_', s) else concat(source, '_page_', s) end, '.pdf') as out_name from g""")
 def render_names(spark, sf_dir):
-    head = F.substring(F.get(F.split("text", "\n", -1), F.lit(0)), 1, 90)
+    head = F.get(F.split("text", "\n", -1), F.lit(0))
     d = sized(spark, sf_dir, "source", tx.sanitize_title(head).alias("title"))
     groups = pages.page_groups(d, "every_n", 2)
     template = F.lit(_TEMPLATES[4])
