@@ -57,16 +57,15 @@ def document_language(spark, sf_dir):
     return lang.document_language(found, "doc_id", "page_no")
 
 
-_TURNS = "turns as (select conv_id, turn, case when role = 'user' then string_split(text, ' ')[1][1:2] else text end as text from conversations)"
+_TURNS = "turns as (select conv_id, turn, text from conversations)"
 
 
 @query("carry_forward_language", f"""with {_PROFILE}, {_TURNS}, {_detect('turns', ['conv_id', 'turn'], 'found')},
  first as (select conv_id, min(turn) as first_turn, arg_min(lang, turn) as lang from found where lang is not null group by conv_id)
  select f.conv_id, f.turn, f.lang, case when f.turn >= i.first_turn then i.lang end as effective from found f left join first i on f.conv_id = i.conv_id""")
 def carry_forward_language(spark, sf_dir):
-    """User turns are cut to two characters, so that they cannot be detected on their own."""
-    short = F.substring(F.get(F.split("text", " ", -1), F.lit(0)), 1, 2)
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", short).otherwise(F.col("text")).alias("text"))
+    """Turns too short to be detected on their own take the language of the first that was."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     found = lang.detect_language(turns, ["conv_id", "turn"], profile(spark, sf_dir))
     return lang.carry_forward(found, "conv_id", "turn").select("conv_id", "turn", "lang", "effective")
 
