@@ -12,6 +12,9 @@ from palimp.session import scratch_path
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
+#: Spark's setting to delete the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: White space of every operator here: the ASCII blanks, no others.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -32,9 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # what was shuffled for this table is of no use once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(key: Column, modulus: int) -> Column:

@@ -9,9 +9,13 @@ Viterbi gives other pieces. Decoding joins pieces and bytes.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +44,26 @@ class Vocabulary:
         plain = [i for i, p in enumerate(self.pieces) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.raw = [p.encode() for p in self.pieces]
+        for b, i in enumerate(self.bytes):
+            self.raw[i] = bytes([b])
         after_letter = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         closing = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after_letter]
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        cuts = [f"(?<=[^{SPACE}])(?={SPACE})"]
+        cuts = []
         if closing:
             cuts.append(f"(?<=[^\\W\\d_])(?=[{''.join(map(re.escape, closing))}])")
         if alone:
             cuts += [f"(?<=[{alone}])", f"(?=[{alone}])"]
-        self.cut = re.compile("|".join(cuts))
+        self.run, self.cut = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile("|".join(cuts) or "(?!)")
 
-    def words(self, text: str) -> list[str]:
-        return [w for w in self.cut.split(SPACE + text.replace(" ", SPACE)) if w] if text else []
+    def runs(self, text: str) -> list[str]:
+        """Blanks with what follows them, up to the next blank; together they are the text with a blank before it."""
+        return self.run.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def words(self, run: str) -> list[str]:
+        return [w for w in self.cut.split(run) if w]
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
         """Ids of the pieces between the cuts; a character without a piece becomes its bytes."""
@@ -69,14 +79,7 @@ class Vocabulary:
         return self.model.encode("\n" + word)[2:]  # a line end is a piece of its own
 
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            out += [held.decode("utf-8", "replace"), self.pieces[i]]
-            held.clear()
-        text = "".join([*out, held.decode("utf-8", "replace")]).replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -108,6 +111,12 @@ def segment(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return words.join(found, "word", "left").select("word", F.coalesce("cuts", F.sequence(F.lit(0), n)).alias("cuts"))
 
 
+def lattice_words(vocabulary: Vocabulary, runs: Iterable[str]) -> list[str]:
+    """The distinct words of a block that go through the lattice, sorted; both passes over a block see the same list."""
+    found = {w for run in runs for w in vocabulary.words(run)}
+    return sorted(w for w in found if 1 < len(w) <= LONGEST and SPACE * (LONGEST_RUN + 1) not in w)
+
+
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, round_trip: the piece ids of each text, and whether they decode to it; one row per input row.
 
@@ -119,43 +128,48 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         raise ValueError("only BPE models, whose scores are the order of merges, are folded here")
 
     def block_words(group: pa.Table) -> pa.Table:
-        own = Vocabulary(model_path)
-        found = {w for _, text in documents(group) for w in own.words(text) if 1 < len(w) <= LONGEST and SPACE * (LONGEST_RUN + 1) not in w}
-        return pa.table({"block": pa.array([group["block"][0].as_py()] * len(found), pa.int64()), "word": pa.array(sorted(found), pa.string())})
-
-    def block_ids(group: pa.Table, words: pa.Table) -> pa.Table:
-        own = Vocabulary(model_path)
-        known = {w: own.ids_of(w, cuts) for w, cuts in zip(words["word"].to_pylist(), words["cuts"].to_pylist())}
+        own, runs = Vocabulary(model_path), set()
+        for _, text in documents(group):
+            runs.update(own.runs(text))
+        found = lattice_words(own, runs)
+        return pa.table({
+            "block": pa.array([group["block"][0].as_py()] * len(found), pa.int64()),
+            "place": pa.array(range(len(found)), pa.int32()), "word": pa.array(found, pa.string()),
+        })
+
+    def block_ids(group: pa.Table, cuts: pa.Table) -> pa.Table:
+        own, index = Vocabulary(model_path), defaultdict()
+        index.default_factory = index.__len__  # a run is numbered when it is first seen
+        coded = [array("i", map(index.__getitem__, own.runs(text))) for _, text in documents(group)]
+        found, known = lattice_words(own, index), {}
+        for place, bits in zip(cuts["place"].to_pylist(), cuts["bits"].to_pylist()):
+            word = found[place]
+            known[word] = own.ids_of(word, [0, *(i for i in range(1, len(word)) if bits >> i & 1), len(word)])
+
+        def ids_of_word(w: str) -> list[int]:
+            if w not in known:
+                known[w] = own.ids_of(w, [0, 1]) if len(w) == 1 else own.ids_of_long(w)
+            return known[w]
+
+        by_code = [[i for w in own.words(run) for i in ids_of_word(w)] for run in index]
         rows = []
-        for doc_id, text in documents(group):
-            ids = []
-            for w in own.words(text):
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = own.ids_of(w, [0, 1]) if len(w) == 1 else own.ids_of_long(w)
-                ids += got
-            rows.append((doc_id, ids, own.decode(ids) == text))
+        for codes, (doc_id, text) in zip(coded, documents(group)):
+            ids = array("i", chain.from_iterable(map(by_code.__getitem__, codes)))
+            rows.append((doc_id, np.frombuffer(ids, dtype=np.int32), own.decode(ids) == text))
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.bool_())
         return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(zip(("doc_id", "ids", "round_trip"), kinds))})
 
     blocks = packed(docs, key, text)
-    words = staged(per_block(blocks, block_words, "block long, word string"), "piece-words")
+    words = staged(per_block(blocks, block_words, "block long, place int, word string"), "piece-words")
     cuts = segment(words.select("word").distinct(), piece_table(spark, vocabulary))
-    back = words.join(cuts, "word").select(F.col("block").alias("to"), "word", "cuts")
+    bits = F.expr("aggregate(filter(cuts, c -> c > 0 and c < length(word)), 0L, (m, c) -> m | shiftleft(1L, c))")
+    # What goes back to a block is a place in its sorted words and a bit per boundary, not the words.
+    back = staged(words.join(cuts.select("word", bits.alias("bits")), "word").select(F.col("block").alias("to"), "place", "bits"), "piece-cuts")
     return blocks.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(block_ids, "doc_id long, ids array<int>, round_trip boolean")
 
 
-def _digest(batches):
-    for batch in batches:
-        ids = batch.column("ids")
-        digests = [hashlib.sha256(ids[i].values.to_numpy().astype("<i4").tobytes()).hexdigest() for i in range(len(ids))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(ids[i].values) for i in range(len(ids))], pa.int64()), batch.column("round_trip"), pa.array(digests)],
-            ["doc_id", "n_tokens", "round_trip", "ids_sha256"],
-        )
-
-
 @query("op4_piece_lattice")
 def op4(spark, sf_dir: str) -> DataFrame:
     encoded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.mapInArrow(_digest, "doc_id long, n_tokens long, round_trip boolean, ids_sha256 string")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", digest.alias("ids_sha256"))
