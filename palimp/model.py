@@ -73,10 +73,7 @@ LANGUAGES = {
 # Limits.
 MAX_INPUT_BYTES = 2 * 1024 ** 3
 MAX_IMAGE_PIXELS = 200_000_000
-MAX_CHAIN_DEPTH = 32
-MAX_EXCISE_DEPTH = 30
 MAX_FINDING_ITEMS = 50
-MAX_EVIDENCE = 20
 REDACTION_MARK = "█"
 SCRUB_MARK = "[redacted]"
 EMPTY_PAGE_TEXT = "[No extractable text on this page]"

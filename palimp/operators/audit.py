@@ -59,7 +59,8 @@ def resolve(uri: Column, url: Column) -> Column:
 
 
 def _prefixed(label: str, values: Column, size: int = 80) -> Column:
-    return F.transform(values, lambda v: F.concat(F.lit(label), F.substring(v, 1, size)))
+    """Distinct values, then the part of each that is shown."""
+    return F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(label), F.substring(v, 1, size)))
 
 
 @per_session
@@ -74,9 +75,9 @@ def _scan_columns() -> list[Column]:
         "html",
         link_targets(html).alias("links"),
         F.concat(
-            F.transform(titles, lambda v: F.concat(F.lit("Title: "), F.substring(v, 1, 120))),
+            F.transform(titles, lambda v: F.concat(F.lit("Title: "), v)),
             F.transform(metas, lambda m: F.concat(
-                attr_value(m, "name"), F.lit(": "), F.substring(F.btrim(attr_value(m, "content")), 1, 120))),
+                attr_value(m, "name"), F.lit(": "), F.btrim(attr_value(m, "content")))),
         ).alias("info"),
         (F.size(scripts(html, True)) + F.size(property_meta(html))).alias("xmp"),
         F.transform(scripts(html, False), lambda m: F.btrim(first_match(m, P.SCRIPT, 2))).alias("code"),
@@ -115,16 +116,16 @@ def finding_array() -> Column:
     scanned = F.array(
         _finding("meta.docinfo", F.size("info"), F.array_distinct("info")),
         _finding("meta.xmp", F.least(c("xmp"), F.lit(1))),
-        _finding("scripts.js", F.size("code") + F.size("js_links"), F.array_distinct(
-            F.concat(_prefixed("script: ", c("code")), _prefixed("link: ", c("js_links"))))),
-        _finding("actions.launch", F.size("launch"), F.array_distinct(_prefixed("launch: ", c("launch")))),
+        _finding("scripts.js", F.size("code") + F.size("js_links"), 
+            F.concat(_prefixed("script: ", c("code")), _prefixed("link: ", c("js_links")))),
+        _finding("actions.launch", F.size("launch"), _prefixed("launch: ", c("launch"))),
         _finding("actions.autorun", F.size("handlers") + F.size("refresh"), F.array_distinct(F.concat(
             F.transform("handlers", lambda v: F.lower(v)), F.transform("refresh", lambda m: F.lit("refresh"))))),
-        _finding("actions.remote", F.size("frames"), F.array_distinct(_prefixed("frame: ", c("frames")))),
-        _finding("forms.submit", F.size("forms"), F.array_distinct(_prefixed("action: ", c("forms")))),
+        _finding("actions.remote", F.size("frames"), _prefixed("frame: ", c("frames"))),
+        _finding("forms.submit", F.size("forms"), _prefixed("action: ", c("forms"))),
         _finding("links.uri", F.size("web"), domains, F.when(plain, F.lit("medium")).otherwise(F.lit("low"))),
-        _finding("files.embedded", F.size("parts"), F.array_distinct(F.transform(
-            "parts", lambda e: F.concat(e["field"], F.lit(": "), F.substring(e["value"], 1, 80))))),
+        _finding("files.embedded", F.size("parts"), F.transform(
+            F.array_distinct("parts"), lambda e: F.concat(e["field"], F.lit(": "), F.substring(e["value"], 1, 80)))),
         _finding("forms.acro", c("fields")),
         _finding("content.ocg", c("layers")),
         _finding("content.invisible_text", c("invisible")),

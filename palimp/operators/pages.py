@@ -46,7 +46,9 @@ def select_page_ranges(specs: DataFrame, doc_pages: DataFrame) -> DataFrame:
 
 
 def page_groups(docs: DataFrame, mode: str, every_n: int = 1) -> DataFrame:
-    """docs(doc_id, n_pages[, spec]) to (doc_id, grp, start, end) for mode all, every_n or ranges."""
+    """docs(doc_id, n_pages[, spec]) to (doc_id, grp, start, end) for mode all, every_n or ranges; other modes are refused."""
+    if mode not in ("all", "every_n", "ranges") or every_n < 1:
+        raise ValueError(f"unknown mode {mode!r} or step {every_n}")
     n = F.col("n_pages")
     if mode == "ranges":
         found = parse_ranges(F.col("spec"), n)
@@ -135,11 +137,16 @@ def output_names(groups: DataFrame, template: Column, base_name: Column, title:
     return groups.withColumn("out_name", F.concat(render_name(template, fields, default), F.lit(ext)))
 
 
-def toc_ranges(toc: DataFrame, last_pages: DataFrame, max_level: int = 6, **chunking) -> DataFrame:
+def toc_ranges(toc: DataFrame, last_pages: DataFrame, max_level: int | None = None, **chunking) -> DataFrame:
     """toc(doc_id, seq, level, page): an entry ends before the next later one of its level or above.
 
-    Entries are first reduced to one row per (doc_id, seq), so that repeated positions stay cheap.
+    Entries are first reduced to one row per (doc_id, seq), so that repeated positions stay cheap. The deepest level is
+    counted in the table unless it is given; a level beyond a given one is an error.
     """
+    deepest = toc.agg(F.max("level")).first()[0] if max_level is None else max_level
+    max_level = max(int(deepest or 0), 0)
+    toc = toc.withColumn("level", F.when(F.coalesce(F.col("level"), F.lit(0)) <= max_level, F.col("level")).otherwise(
+        F.raise_error(F.lit(f"a level is deeper than {max_level}")).cast("bigint")))
     levels = [f"p{k}" for k in range(max_level + 1)]
     positions = toc.groupBy("doc_id", "seq").agg(*[
         F.min(F.when(F.col("level") <= k, F.col("page"))).alias(f"p{k}") for k in range(max_level + 1)])

@@ -79,17 +79,27 @@ def dual_reader_hits(surfaces: DataFrame, terms: DataFrame, **kw) -> DataFrame:
     return term_hits(both, ["doc_id", "page_no"], terms, **kw).select("doc_id", "page_no", "term").distinct()
 
 
+def unreadable(docs: DataFrame, read: DataFrame) -> DataFrame:
+    """A failed ``redaction.readable`` for each document that has no row in read(doc_id, ok) or one that is not ok."""
+    seen = read.groupBy("doc_id").agg(F.bool_and("ok").alias("ok"))
+    return docs.select("doc_id").join(seen, "doc_id", "left").where(~F.coalesce("ok", F.lit(False))).select(
+        "doc_id", F.lit("redaction.readable").alias("check_id"), F.lit(False).alias("passed"), F.array(F.lit("cannot be read")).alias("evidence"),
+        F.array().cast("array<bigint>").alias("pages"), F.lit(True).alias("is_document_level"))
+
+
 def verify_pages(doc_pages: DataFrame, docs: DataFrame, terms: DataFrame, **kw) -> DataFrame:
-    """Checks of the page text of written output."""
+    """Checks of the page text of written output. A document without pages, or with a page without text, fails."""
     hits = page_hits(doc_pages, terms, **kw).select("doc_id", "page_no", F.lit("page_text").alias("surface"), F.lit("text").alias("field"), "term")
-    return checks(docs, ["redaction.page_text"], evidence_from_hits(hits))
+    read = doc_pages.select("doc_id", F.col("text").isNotNull().alias("ok"))
+    return checks(docs, ["redaction.page_text"], evidence_from_hits(hits)).unionByName(unreadable(docs, read))
 
 
 def verify_surfaces(surfaces: DataFrame, docs: DataFrame, terms: DataFrame, **kw) -> DataFrame:
-    """The nine surface checks of written output."""
+    """The nine surface checks of written output. A document of which no surface could be read fails."""
     keyed = surfaces.select("doc_id", "pos", "page_no", "surface", "field", "value")
     hits = term_hits(keyed, ["doc_id", "pos", "page_no", "field"], terms, **kw)
-    return checks(docs, ["redaction." + s for s in model.SURFACES], evidence_from_hits(hits))
+    read = surfaces.select("doc_id", ((F.col("surface") != "raw_content") | F.col("value").isNotNull()).alias("ok"))
+    return checks(docs, ["redaction." + s for s in model.SURFACES], evidence_from_hits(hits)).unionByName(unreadable(docs, read))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -131,7 +141,7 @@ def promise_checks(docs: DataFrame, findings: DataFrame, options: dict[str, bool
     readable = docs.select("doc_id").join(locked, "doc_id", "left_anti")
     wanted = readable.select("doc_id", F.explode(F.array(*[
         F.struct(F.lit(o).alias("option"), F.lit(f).alias("id")) for o, f in promised])).alias("p")).select("doc_id", "p.*")
-    present = findings.select("doc_id", "id", F.slice("items", 1, model.MAX_EVIDENCE).alias("evidence"))
+    present = findings.select("doc_id", "id", F.col("items").alias("evidence"))
     done = wanted.join(present, ["doc_id", "id"], "left").select(
         "doc_id", F.concat(F.lit("sanitization."), "option", F.lit("."), "id").alias("check_id"), F.col("evidence").isNull().alias("passed"),
         F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))

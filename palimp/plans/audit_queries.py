@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimp import model
 from palimp.functions import patterns as P
 from palimp.functions.text import attr_value, domain_of, find_all, first_match
 from palimp.operators import audit
@@ -84,12 +85,12 @@ def top_items(spark, sf_dir):
     return audit.top_items(audit.explode_findings(audit.audit_pages(_pages(spark, sf_dir))))
 
 
-@query("union_findings", f"""with {FINDINGS}, picked as (select doc_id, id, severity, count from findings where id in ('links.uri', 'content.invisible_text') and severity <> 'low')
+@query("union_findings", f"""with {FINDINGS}, picked as (select doc_id, id, severity, count from findings where id <> 'clean')
  select * from picked union all select page_id, 'clean', 'info', 0 from pages where page_id not in (select doc_id from picked)""")
 def union_findings(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    rows = audit.scanner_rows(pages, ["links.uri", "content.invisible_text"]).where("severity <> 'low'")
-    outputs = [rows.where(F.col("id") == i) for i in ("links.uri", "content.invisible_text")]
+    rows = audit.scanner_rows(pages, [i for i in model.FINDINGS if i != "clean"])
+    outputs = [rows.where("id = 'links.uri'"), rows.where("id <> 'links.uri'")]
     docs = pages.select(F.col("page_id").alias("doc_id"))
     return audit.with_clean(docs, outputs).select("doc_id", "id", "severity", "count")
 

@@ -117,7 +117,7 @@ RANK = _RANK
 
 
 def _prefixed(label: str, values: str) -> str:
-    return f"list_transform({values}, lambda v: concat('{label}', substr(v, 1, 80)))"
+    return f"list_transform({distinct_in_order(values)}, lambda v: concat('{label}', substr(v, 1, 80)))"
 
 
 _SCANS = f"""scans as (
@@ -127,9 +127,9 @@ _SCANS = f"""scans as (
  from (select page_id as doc_id, url, html,
   list_filter(list_transform({_all(P.ANCHOR)}, lambda m: trim({attr('m', 'href')})), lambda u: u <> '') as links,
   list_concat(
-   list_transform(list_filter(list_transform({_all(P.TITLE, 1)}, lambda v: {strip_tags('v')}), lambda v: v <> ''), lambda v: concat('Title: ', substr(v, 1, 120))),
+   list_transform(list_filter(list_transform({_all(P.TITLE, 1)}, lambda v: {strip_tags('v')}), lambda v: v <> ''), lambda v: concat('Title: ', v)),
    list_transform(list_filter({_all(P.META)}, lambda m: {attr('m', 'name')} <> '' and trim({attr('m', 'content')}) <> ''),
-    lambda m: concat({attr('m', 'name')}, ': ', substr(trim({attr('m', 'content')}), 1, 120)))) as info,
+    lambda m: concat({attr('m', 'name')}, ': ', trim({attr('m', 'content')})))) as info,
   len(list_filter({_all(P.SCRIPT)}, lambda m: {_LD})) + len(list_filter({_all(P.META)}, lambda m: {attr('m', 'property')} <> '')) as xmp,
   list_transform(list_filter({_all(P.SCRIPT)}, lambda m: not {_LD}), lambda m: trim(regexp_extract(m, {lit(P.SCRIPT)}, 2))) as code,
   {_all(P.HANDLER, 1)} as handlers, {_all(P.META_REFRESH)} as refresh,
@@ -151,17 +151,17 @@ _DOMAINS = f"list_transform(web, lambda u: {domain_of('u')})"
 _PLAIN = "len(list_filter(web, lambda u: regexp_matches(u, '(?i)^http://'))) > 0"
 _JS_ITEMS = f"list_concat({_prefixed('script: ', 'code')}, {_prefixed('link: ', 'js_links')})"
 _AUTO_ITEMS = "list_concat(list_transform(handlers, lambda v: lower(v)), list_transform(refresh, lambda m: 'refresh'))"
-_PART_ITEMS = "list_transform(parts, lambda e: concat(e.field, ': ', substr(e.value, 1, 80)))"
+_PART_ITEMS = f"list_transform({distinct_in_order('parts')}, lambda e: concat(e.field, ': ', substr(e.value, 1, 80)))"
 _FOUND = "found as (" + "\n union all ".join([
     _finding(0, "meta.docinfo", "len(info)", distinct_in_order("info")),
     _finding(1, "meta.xmp", "least(xmp, 1)"),
-    _finding(2, "scripts.js", "len(code) + len(js_links)", distinct_in_order(_JS_ITEMS)),
-    _finding(3, "actions.launch", "len(launch)", distinct_in_order(_prefixed("launch: ", "launch"))),
+    _finding(2, "scripts.js", "len(code) + len(js_links)", _JS_ITEMS),
+    _finding(3, "actions.launch", "len(launch)", _prefixed("launch: ", "launch")),
     _finding(4, "actions.autorun", "len(handlers) + len(refresh)", distinct_in_order(_AUTO_ITEMS)),
-    _finding(5, "actions.remote", "len(frames)", distinct_in_order(_prefixed("frame: ", "frames"))),
-    _finding(6, "forms.submit", "len(forms)", distinct_in_order(_prefixed("action: ", "forms"))),
+    _finding(5, "actions.remote", "len(frames)", _prefixed("frame: ", "frames")),
+    _finding(6, "forms.submit", "len(forms)", _prefixed("action: ", "forms")),
     _finding(7, "links.uri", "len(web)", distinct_in_order(_DOMAINS), f"case when {_PLAIN} then 'medium' else 'low' end"),
-    _finding(8, "files.embedded", "len(parts)", distinct_in_order(_PART_ITEMS)),
+    _finding(8, "files.embedded", "len(parts)", _PART_ITEMS),
     _finding(9, "forms.acro", "fields"),
     _finding(10, "content.ocg", "layers"),
     _finding(11, "content.invisible_text", "cast(invisible as integer)"),

@@ -174,7 +174,7 @@ def toc_ranges(spark, sf_dir, **chunking):
     level = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).cast("bigint")
     toc = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), level.alias("level"), F.col("turn").alias("page"))
     last = toc.groupBy("doc_id").agg(F.max("page").alias("last_page"))
-    return pages.toc_ranges(toc, last, max_level=2, **chunking).select("doc_id", "seq", "level", "page", "end_page")
+    return pages.toc_ranges(toc, last, **chunking).select("doc_id", "seq", "level", "page", "end_page")
 
 
 _HEAD = "string_split(text, chr(10))[1]"

@@ -186,7 +186,8 @@ def verify_redaction(spark, sf_dir):
   concat('''', term, ''' in ', field, ' on ', case when page_no is null then 'document' else concat('page ', page_no) end) as line from surface_hits),
  wanted as (select page_id as doc_id, concat('redaction.', s) as check_id from pages, unnest({model.SURFACES}) as u(s))
  select w.doc_id, w.check_id, count(line) = 0 as passed, coalesce(string_agg(line, ' | ' order by line), '') as evidence, count(line) > 0 and bool_or(line is not null and page_no is null) as is_document_level
- from wanted w left join e on w.doc_id = e.doc_id and w.check_id = e.check_id group by w.doc_id, w.check_id""")
+ from wanted w left join e on w.doc_id = e.doc_id and w.check_id = e.check_id group by w.doc_id, w.check_id
+ union all select page_id, 'redaction.readable', false, 'cannot be read', true from pages where html is null""")
 def check_evidence(spark, sf_dir):
     out = verify.verify_surfaces(surfaces(spark, sf_dir), page_ids(spark, sf_dir), terms(spark, sf_dir))
     return _flat(out).select("doc_id", "check_id", "passed", "evidence", "is_document_level")
@@ -259,7 +260,7 @@ _PROMISED_DEFAULT = ", ".join(f"'{f}'" for o, (d, fs) in model.SANITIZE_SWITCHES
 
 
 @query("promise_checks", f"""with {FINDINGS}, promised(opt, id) as (values {_PROMISED})
- select page_id as doc_id, concat('sanitization.', opt, '.', p.id) as check_id, f.id is null as passed, coalesce(array_to_string(list_slice(items, 1, 20), ' | '), '') as evidence
+ select page_id as doc_id, concat('sanitization.', opt, '.', p.id) as check_id, f.id is null as passed, coalesce(array_to_string(items, ' | '), '') as evidence
  from pages cross join promised p left join findings f on f.doc_id = page_id and f.id = p.id where html is not null
  union all select page_id, 'sanitization.readable', false, 'cannot be read' from pages where html is null""")
 def promise_checks(spark, sf_dir):
