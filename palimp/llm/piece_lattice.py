@@ -31,6 +31,8 @@ SPACE = "▁"
 #: Characters of the longest word that goes through the lattice, and of the longest run of blanks in it. Other words, which
 #: are few in text, are encoded by the library: all their merges would be tied or would make long arrays.
 LONGEST, LONGEST_RUN = 64, 16
+#: All boundaries inside a word of 2 to 64 characters.
+ALL_BITS = "shiftleft(shiftrightunsigned(-1L, 65 - length(word)), 1)"
 
 
 class Vocabulary:
@@ -90,25 +92,27 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def segment(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, cuts: the boundaries of the pieces of each distinct word, from 0 to its length."""
+    """word, bits: which boundaries inside a distinct word are left, bit i for the one before character i; words of at most
+    64 characters. Words that contain no piece of several characters are not returned: all their boundaries are left."""
     longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).where(F.col("start") < n - 1)
     spans = starts.select("word", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
     edges = spans.join(F.broadcast(pieces), F.substring("word", F.col("start") + 1, F.col("size")) == F.col("piece"))  # a vocabulary
-    edge = F.struct((-F.col("score")).alias("rank"), "start", (F.col("start") + F.col("size")).alias("end"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    ends = F.expr("if(start > 0, shiftleft(1L, start), 0L) | if(start + size < length(word), shiftleft(1L, start + size), 0L)")
+    inner = F.expr("shiftleft(shiftrightunsigned(-1L, 65 - size), start + 1)")
+    edge = F.struct((-F.col("score")).alias("rank"), "start", "size", ends.alias("ends"), inner.alias("inner"))
+    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     tied = F.filter("edges", lambda e: e["rank"] >= 1e9)  # runs of blanks, all of one score: they may need to be seen again
+    again = F.when(F.element_at("edges", -1)["rank"] >= 1e9, F.concat("edges", tied, tied)).otherwise(F.col("edges"))
     merged = F.aggregate(
-        F.concat("edges", tied, tied), F.sequence(F.lit(0), n),
-        lambda cuts, e: F.when(
-            F.array_contains(cuts, e["start"]) & F.array_contains(cuts, e["end"])
-            & (F.size(F.filter(cuts, lambda c: (c > e["start"]) & (c < e["end"]))) == 1),
-            F.filter(cuts, lambda c: (c <= e["start"]) | (c >= e["end"])),
-        ).otherwise(cuts),
+        again, F.expr(ALL_BITS),
+        lambda bits, e: F.when(
+            (bits.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1),
+            bits.bitwiseAND(F.bitwise_not(e["inner"])),
+        ).otherwise(bits),
     )
-    found = lattice.select("word", merged.alias("cuts"))
-    return words.join(found, "word", "left").select("word", F.coalesce("cuts", F.sequence(F.lit(0), n)).alias("cuts"))
+    return lattice.select("word", merged.alias("bits"))
 
 
 def lattice_words(vocabulary: Vocabulary, runs: Iterable[str]) -> list[str]:
@@ -117,6 +121,15 @@ def lattice_words(vocabulary: Vocabulary, runs: Iterable[str]) -> list[str]:
     return sorted(w for w in found if 1 < len(w) <= LONGEST and SPACE * (LONGEST_RUN + 1) not in w)
 
 
+def cuts_of(bits: int, size: int) -> list[int]:
+    """The boundaries of a word as a list, with its start and its end."""
+    cuts, bits = [0], bits & (1 << 64) - 1
+    while bits:
+        cuts.append((bits & -bits).bit_length() - 1)
+        bits &= bits - 1
+    return [*cuts, size]
+
+
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, round_trip: the piece ids of each text, and whether they decode to it; one row per input row.
 
@@ -144,7 +157,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         found, known = lattice_words(own, index), {}
         for place, bits in zip(cuts["place"].to_pylist(), cuts["bits"].to_pylist()):
             word = found[place]
-            known[word] = own.ids_of(word, [0, *(i for i in range(1, len(word)) if bits >> i & 1), len(word)])
+            known[word] = own.ids_of(word, cuts_of(bits, len(word)))
 
         def ids_of_word(w: str) -> list[int]:
             if w not in known:
@@ -162,9 +175,9 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     blocks = packed(docs, key, text)
     words = staged(per_block(blocks, block_words, "block long, place int, word string"), "piece-words")
     cuts = segment(words.select("word").distinct(), piece_table(spark, vocabulary))
-    bits = F.expr("aggregate(filter(cuts, c -> c > 0 and c < length(word)), 0L, (m, c) -> m | shiftleft(1L, c))")
     # What goes back to a block is a place in its sorted words and a bit per boundary, not the words.
-    back = staged(words.join(cuts.select("word", bits.alias("bits")), "word").select(F.col("block").alias("to"), "place", "bits"), "piece-cuts")
+    answers = words.join(cuts, "word", "left").select(F.col("block").alias("to"), "place", F.coalesce("bits", F.expr(ALL_BITS)).alias("bits"))
+    back = staged(answers, "piece-cuts")
     return blocks.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(block_ids, "doc_id long, ids array<int>, round_trip boolean")
 
 
