@@ -58,14 +58,20 @@ class Vocabulary:
             cuts.append(f"(?<=[^\\W\\d_])(?=[{''.join(map(re.escape, closing))}])")
         if alone:
             cuts += [f"(?<=[{alone}])", f"(?=[{alone}])"]
-        self.run, self.cut = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile("|".join(cuts) or "(?!)")
+        self.run, self.cut = re.compile(" +[^ ]*"), re.compile("|".join(cuts) or "(?!)")
 
     def runs(self, text: str) -> list[str]:
-        """Blanks with what follows them, up to the next blank; together they are the text with a blank before it."""
-        return self.run.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """What stands between blanks. Where several blanks follow each other, all but the first go to the run after them."""
+        if not text:
+            return []
+        found = text.replace(SPACE, " ").split(" ")
+        return [run[1:] for run in self.run.findall(" " + " ".join(found))] if "" in found else found
 
     def words(self, run: str) -> list[str]:
-        return [w for w in self.cut.split(run) if w]
+        """A run with the blank before it, cut where no piece crosses."""
+        if run.isalnum():
+            return [SPACE + run]
+        return [w for w in self.cut.split(SPACE + run.replace(" ", SPACE)) if w]
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
         """Ids of the pieces between the cuts; a character without a piece becomes its bytes."""
@@ -115,9 +121,9 @@ def segment(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return lattice.select("word", merged.alias("bits"))
 
 
-def lattice_words(vocabulary: Vocabulary, runs: Iterable[str]) -> list[str]:
+def lattice_words(split: Iterable[list[str]]) -> list[str]:
     """The distinct words of a block that go through the lattice, sorted; both passes over a block see the same list."""
-    found = {w for run in runs for w in vocabulary.words(run)}
+    found = set(chain.from_iterable(split))
     return sorted(w for w in found if 1 < len(w) <= LONGEST and SPACE * (LONGEST_RUN + 1) not in w)
 
 
@@ -144,7 +150,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         own, runs = Vocabulary(model_path), set()
         for _, text in documents(group):
             runs.update(own.runs(text))
-        found = lattice_words(own, runs)
+        found = lattice_words(map(own.words, runs))
         return pa.table({
             "block": pa.array([group["block"][0].as_py()] * len(found), pa.int64()),
             "place": pa.array(range(len(found)), pa.int32()), "word": pa.array(found, pa.string()),
@@ -154,7 +160,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         own, index = Vocabulary(model_path), defaultdict()
         index.default_factory = index.__len__  # a run is numbered when it is first seen
         coded = [array("i", map(index.__getitem__, own.runs(text))) for _, text in documents(group)]
-        found, known = lattice_words(own, index), {}
+        split = [own.words(run) for run in index]
+        found, known = lattice_words(split), {}
         for place, bits in zip(cuts["place"].to_pylist(), cuts["bits"].to_pylist()):
             word = found[place]
             known[word] = own.ids_of(word, cuts_of(bits, len(word)))
@@ -164,7 +171,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
                 known[w] = own.ids_of(w, [0, 1]) if len(w) == 1 else own.ids_of_long(w)
             return known[w]
 
-        by_code = [[i for w in own.words(run) for i in ids_of_word(w)] for run in index]
+        by_code = [[i for w in words for i in ids_of_word(w)] for words in split]
         rows = []
         for codes, (doc_id, text) in zip(coded, documents(group)):
             ids = array("i", chain.from_iterable(map(by_code.__getitem__, codes)))
