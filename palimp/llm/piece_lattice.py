@@ -136,6 +136,29 @@ def cuts_of(bits: int, size: int) -> list[int]:
     return [*cuts, size]
 
 
+def ids_by_run(vocabulary: Vocabulary, runs: Iterable[str], cuts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all runs of a block end to end, and where those of each run begin and the last end."""
+    split = [vocabulary.words(run) for run in runs]
+    found, known = lattice_words(split), {}
+    for place, bits in zip(cuts["place"].to_pylist(), cuts["bits"].to_pylist()):
+        known[found[place]] = vocabulary.ids_of(found[place], cuts_of(bits, len(found[place])))
+    ids, starts = array("i"), array("q", [0])
+    for words in split:
+        for w in words:
+            if w not in known:
+                known[w] = vocabulary.ids_of(w, [0, 1]) if len(w) == 1 else vocabulary.ids_of_long(w)
+            ids.extend(known[w])
+        starts.append(len(ids))
+    return np.asarray(ids), np.asarray(starts)
+
+
+def picked(ids: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the coded runs, one run after the other."""
+    first, sizes = starts[codes], starts[codes + 1] - starts[codes]
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, round_trip: the piece ids of each text, and whether they decode to it; one row per input row.
 
@@ -160,22 +183,10 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         own, index = Vocabulary(model_path), defaultdict()
         index.default_factory = index.__len__  # a run is numbered when it is first seen
         coded = [array("i", map(index.__getitem__, own.runs(text))) for _, text in documents(group)]
-        split = [own.words(run) for run in index]
-        found, known = lattice_words(split), {}
-        for place, bits in zip(cuts["place"].to_pylist(), cuts["bits"].to_pylist()):
-            word = found[place]
-            known[word] = own.ids_of(word, cuts_of(bits, len(word)))
-
-        def ids_of_word(w: str) -> list[int]:
-            if w not in known:
-                known[w] = own.ids_of(w, [0, 1]) if len(w) == 1 else own.ids_of_long(w)
-            return known[w]
-
-        by_code = [[i for w in words for i in ids_of_word(w)] for words in split]
-        rows = []
+        by_run, rows = ids_by_run(own, index, cuts), []
         for codes, (doc_id, text) in zip(coded, documents(group)):
-            ids = array("i", chain.from_iterable(map(by_code.__getitem__, codes)))
-            rows.append((doc_id, np.frombuffer(ids, dtype=np.int32), own.decode(ids) == text))
+            ids = picked(*by_run, np.asarray(codes))
+            rows.append((doc_id, ids, own.decode(ids.tolist()) == text))
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.bool_())
         return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(zip(("doc_id", "ids", "round_trip"), kinds))})
 
