@@ -1,9 +1,12 @@
-"""Repeated passages, by hashing sentences and lines.
+"""Repeated passages, by hashing sentences, lines and windows of words.
 
 A unit is a line or a sentence of one. Units are normalised and hashed; their digests are grouped over all documents, and
 the document with the smallest id owns a unit. In every other document the unit is a repeat, as is a second occurrence
-in one document. A run of neighbouring repeats is cut out if it is long enough to be a passage, so single common
-sentences stay where they are; the spans that are cut are reported by their offsets in the original text.
+in one document. A passage need not begin or end where a unit does, so windows of MIN_WORDS words are owned and repeated
+in the same way. Only those are hashed that can repeat: the smallest hash of a window's short word runs is its print, equal
+windows have equal prints, and a window whose print stands in one document only is left out.
+A run of repeated words is cut out if it is long enough to be a passage, so single common sentences stay where they are;
+the spans that are cut are reported by their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -17,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.base import query, table, text_of
+from palimp.llm.base import query, staged, table, text_of
+from palimp.llm.shingles import U, _powers_to, mixed, word_hashes
 from palimp.session import ship_by_value
 
 ship_by_value(__name__)
 
-#: Words that a run of repeated units has at least to be cut out.
+#: Words that a run of repeats has at least to be cut out.
 MIN_WORDS = 40
+#: Words of the short runs of which a print is one.
+PRINT_WORDS = 12
+#: A run that goes on for fewer words in a sentence that does not repeat agrees with it by chance, and ends before it.
+EDGE_WORDS = 3
 UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t]|\n|$)|[^\n]+")
 
 
@@ -37,18 +45,68 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
     return found
 
 
-def repeated_runs(units: list[tuple[int, int, int, bytes]], repeats: set[bytes], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of neighbouring repeats that have at least ``min_words`` words."""
-    spans, seen, run, words = [], set(), [], 0
-    for start, end, n, digest in [*units, (0, 0, 0, b"")]:
-        if digest and (digest in repeats or digest in seen):
-            run.append((start, end))
-            words += n
-        else:
-            if run and words >= min_words:
-                spans.append((run[0][0], run[-1][1]))
-            run, words = [], 0
+def hashed_words(text: str) -> np.ndarray:
+    """A hash of each lower-cased word."""
+    return word_hashes(" ".join(text.lower().split()).encode("utf-8", "replace"))
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words, by its first word."""
+    if len(words) < n:
+        return words[:0]
+    up, down = _powers_to(len(words))
+    sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum(words * up, dtype=U)])
+    return mixed((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+
+
+def window_prints(words: np.ndarray, min_words: int) -> np.ndarray:
+    """The print of each window of ``min_words`` words, by its first word."""
+    width = min(PRINT_WORDS, min_words)
+    low, have, want = run_hashes(words, width), 1, min_words - width + 1
+    if len(low) < want:
+        return low[:0]
+    while have < want:
+        step = min(have, want - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return low
+
+
+def repeated_runs(text: str, repeats: set[bytes], windows: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Spans of the runs of at least ``min_words`` words that are in repeated units or windows."""
+    units = units_of(text)
+    first = np.cumsum([0, *[u[2] for u in units]])
+    marked, seen = np.zeros(first[-1] + 1, dtype=np.int32), set()
+
+    def mark(starts, ends):
+        np.add.at(marked, starts, 1)
+        np.add.at(marked, ends, -1)
+
+    for i, (_, _, _, digest) in enumerate(units):
+        if digest in repeats or digest in seen:
+            mark(first[i], first[i + 1])
         seen.add(digest)
+    hashes = run_hashes(hashed_words(text), min_words)
+    if len(hashes):
+        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # In one document, a repeat lies wholly behind the first occurrence.
+        again = np.flatnonzero((at[which] + min_words <= np.arange(len(hashes))) | np.isin(hashes, windows))
+        mark(again, again + min_words)
+    inside = np.concatenate([[False], np.cumsum(marked[:-1]) > 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= min_words]
+    if not runs:
+        return []
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    spans = []
+    for a, b in runs:
+        # The units that hold the first and the last word.
+        i, j = (int(np.searchsorted(first, x, "right")) - 1 for x in (a, b - 1))
+        if i < j and first[i] < a and first[i + 1] - a < EDGE_WORDS:
+            i, a = i + 1, int(first[i + 1])
+        if i < j and b < first[j + 1] and b - first[j] < EDGE_WORDS:
+            j, b = j - 1, int(first[j])
+        spans.append((units[i][0] if a == first[i] else places[a][0], units[j][1] if b == first[j + 1] else places[b - 1][1]))
     return spans
 
 
@@ -67,16 +125,38 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _printer(min_words: int):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id"), batch.column("text")):
+                found = np.unique(window_prints(hashed_words(text.as_py()), min_words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(found)), pa.array(found)], ["doc_id", "h"])
+
+    return prints
+
+
+def _windower(min_words: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, shared in zip(batch.column("doc_id"), batch.column("text"), batch.column("prints")):
+                words = hashed_words(text.as_py())
+                there = np.isin(window_prints(words, min_words), shared.values.to_numpy().astype(U))
+                found = np.unique(run_hashes(words, min_words)[there]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(found)), pa.array(found)], ["doc_id", "h"])
+
+    return windows
+
+
 def _cutter(min_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 kept, spans = [], []
-                for text, repeats in zip(part.column("text"), part.column("repeats")):
+                for text, repeats, windows in zip(part.column("text"), part.column("repeats"), part.column("windows")):
                     text = text.as_py()
                     known = {np.array([r["h1"], r["h2"]], dtype=np.int64).tobytes() for r in repeats.as_py() or ()}
-                    found = repeated_runs(units_of(text), known, min_words)
+                    found = repeated_runs(text, known, windows.values.to_numpy().astype(U) if windows.is_valid else [], min_words)
                     pieces, last = [], 0
                     for start, end in found:
                         pieces.append(text[last:start])
@@ -91,6 +171,16 @@ def _cutter(min_words: int):
     return cut
 
 
+def repeated_windows(ranked: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, h: the windows of each document that stand in one with a smaller id too."""
+    prints = staged(ranked.mapInArrow(_printer(min_words), "doc_id long, h long"), "prints")
+    several = prints.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("h")
+    shared = prints.join(several, "h").groupBy("doc_id").agg(F.collect_list("h").alias("prints"))  # bounded by one document
+    windows = staged(ranked.join(shared, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windower(min_words), "doc_id long, h long"), "windows")
+    owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("h", "owner")
+    return staged(windows.join(owners, "h").where("doc_id > owner").select("doc_id", "h"), "repeated")
+
+
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, removed: one row per input row; ``removed`` has start, end (in characters of the original) and words
     of each span that was cut out, ``text`` what is left.
@@ -104,8 +194,10 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     digests = ranked.mapInArrow(_digests, "doc_id long, h1 long, h2 long")
     owners = digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner")
     repeats = digests.join(owners, ["h1", "h2"]).where("doc_id > owner")
-    per_doc = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("repeats"))  # bounded by one document
-    marked = ranked.join(per_doc, "doc_id", "left").select("doc_id", "text", "repeats")
+    both = repeats.select("doc_id", F.struct("h1", "h2").alias("unit"), F.lit(None).cast("long").alias("h")).unionByName(
+        repeated_windows(ranked, min_words), allowMissingColumns=True)
+    per_doc = both.groupBy("doc_id").agg(F.collect_list("unit").alias("repeats"), F.collect_list("h").alias("windows"))  # bounded by one document
+    marked = ranked.join(per_doc, "doc_id", "left").select("doc_id", "text", "repeats", "windows")
     out = marked.mapInArrow(_cutter(min_words), "doc_id long, text string, removed array<struct<start:int,end:int,words:int>>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
 

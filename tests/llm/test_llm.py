@@ -118,6 +118,22 @@ def test_repeated_passages_are_cut(spark, docs, empty):
     assert line_dedup.cut_repeats(docs).count() == len(ROWS) and line_dedup.cut_repeats(empty).count() == 0
 
 
+def test_passages_inside_sentences_are_cut(spark):
+    whole = " ".join(f"q{i}" for i in range(50))  # no sentence ends in it
+    parts = "tail of one. " + " ".join(f"r{i}" + "." * (i % 12 == 11) for i in range(36)) + " head of next"
+    rows = [
+        (1, f"First host says {whole} and goes on. Then {parts} comes."), (2, f"Another text has\n{whole.upper()} in its line."),
+        (3, f"Third begins with {parts} but ends so."), (4, f"Twice here {whole}x y {whole}x z."), (5, " ".join(whole.split()[:39]) + " short."),
+    ]
+    got = {r.doc_id: r for r in line_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: [text[s.start : s.end] for s in got[i].removed] for i, text in rows}
+    assert texts[1] == [] and texts[5] == []
+    assert texts[2] == [whole.upper()] and got[2].text.split() == "Another text has in its line.".split()
+    assert texts[3] == [parts] and got[3].text.split() == "Third begins with but ends so.".split()
+    assert texts[4] == [" ".join(whole.split()[:49]), whole + "x"]
+    assert line_dedup.repeated_runs("a " * 100, set(), [], 40) == [(80, 200)]  # the first occurrence stays whole
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(minhash_tensor, "SLICE", 8)  # groups larger than a slice
     rng = np.random.default_rng(3)
