@@ -2,8 +2,9 @@
 
 Lines that begin with '>' quote another message; the number of '>' is the level. Consecutive lines of one level are a
 passage. Passages are normalised and hashed, and joined to what messages say themselves (their whole own text, their
-paragraphs and their lines). The first message of the conversation that said it is the original; a message replies to
-the original of its outermost quoted passage. Messages then stand below what they answer, without the quotes.
+paragraphs and their lines). The first message of the conversation that said it is the original. A passage that is none of
+these, as a trimmed quote, is taken apart into sentences, and the first message that said all of them is the original. A
+message replies to the original of its outermost quoted passage. Messages then stand below what they answer, without the quotes.
 Everything is DataFrame functions; no group of rows is gathered, so a conversation of any size stays spread out.
 """
 
@@ -17,6 +18,8 @@ from palimp.llm.base import BLANKS, partitions, query, staged, table, text_of
 #: The run of '>' that begins a quoted line, and a whole run of quoted lines. '^' is the start of a line, "\\n" alone ends one.
 MARK = r"(?md)^[ \t]*+(>[> \t]*+)"
 QUOTED = r"(?md)(?:^[ \t]*+>[^\n]*+(?:\n|\z))+"
+#: What is between paragraphs.
+PARAGRAPH = r"\n[ \t\r]*\n"
 
 
 def level_of(mark: Column) -> Column:
@@ -32,25 +35,68 @@ def digest(text: Column) -> Column:
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, digest: the distinct quoted passages of each message, found level by level inside the row."""
+    """conv_id, turn, level, digest, bare: the distinct quoted passages of each message, found level by level inside the row.
+    A digest that stands in several layouts of lines has a row for each."""
     marks = F.regexp_extract_all("text", F.lit(MARK), F.lit(1))
     levels = messages.select("conv_id", "turn", "text", F.explode(F.array_distinct(F.transform(marks, level_of))).alias("level"))
     # Consecutive lines of exactly this level.
     exactly = F.concat(F.lit(r"(?md)(?:^[ \t]*+(?:>[ \t]*+){"), F.col("level").cast("string"), F.lit(r"}(?!>)[^\n]*+(?:\n|\z))+"))
     found = levels.select("conv_id", "turn", "level", F.explode(F.regexp_extract_all("text", exactly, F.lit(0))).alias("passage"))
     bare = F.regexp_replace("passage", MARK, "")
-    return found.where(normalised(bare) != "").select("conv_id", "turn", "level", digest(bare).alias("digest")).distinct()
+    return found.where(normalised(bare) != "").select("conv_id", "turn", "level", digest(bare).alias("digest"), bare.alias("bare")).distinct()
 
 
 def own_passages(messages: DataFrame) -> DataFrame:
     """conv_id, digest, turn: the first turn of a conversation in which a passage was said, not quoted."""
-    parts = F.split(F.regexp_replace("text", QUOTED, "\n\n"), r"\n[ \t\r]*\n")
+    parts = F.split(F.regexp_replace("text", QUOTED, "\n\n"), PARAGRAPH)
     own = F.regexp_replace("text", QUOTED, "")
     units = F.concat(F.array(own), parts, F.split(own, "\n"))
     said = messages.select("conv_id", "turn", F.explode(units).alias("unit")).where(normalised(F.col("unit")) != "")
     return said.groupBy("conv_id", digest(F.col("unit")).alias("digest")).agg(F.min("turn").alias("said"))
 
 
+def _units(parts: Column) -> Column:
+    """The distinct digests of texts that have a word."""
+    return F.array_distinct(F.transform(F.filter(parts, lambda x: normalised(x) != ""), digest))
+
+
+def line_sentences(text: Column) -> Column:
+    """The sentences of each line."""
+    return _units(F.split(text, r"\n|(?<=[.!?])[ \t\r]+"))
+
+
+def paragraph_sentences(text: Column) -> Column:
+    """The sentences of each paragraph, however its lines are broken."""
+    joined = F.transform(F.split(text, PARAGRAPH), normalised)
+    return _units(F.flatten(F.transform(joined, lambda x: F.split(x, "(?<=[.!?]) "))))
+
+
+def trimmed_passages(messages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, digest, said: the first turn that said all sentences of a quoted passage, in its lines or in its paragraphs.
+
+    Turns are looked up by the sentence that the fewest turns said, then asked for the others.
+    """
+    same_conv = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    kinds = F.array(line_sentences(F.col("bare")), paragraph_sentences(F.col("bare")))
+    passages = quotes.select("conv_id", "digest", "bare").distinct().select("conv_id", "digest", F.explode(kinds).alias("units")).distinct()
+    passages = passages.withColumn("id", F.sha2(F.to_json(F.struct("conv_id", "digest", "units")), 256))
+    wanted = staged(passages.select("conv_id", "digest", "id", F.size("units").alias("n"), F.explode("units").alias("unit")), "wanted")
+    quoting = messages.where("turn is not null").alias("m").join(quotes.select("conv_id").distinct().alias("q"), same_conv("m", "q"), "left_semi")
+    text = F.regexp_replace("text", QUOTED, "\n\n")
+    own = quoting.select("conv_id", "turn", F.explode(F.array_union(line_sentences(text), paragraph_sentences(text))).alias("unit"))
+    of_unit = same_conv("w", "o") & (F.col("w.unit") == F.col("o.unit"))
+    own = own.alias("o").join(wanted.select("conv_id", "unit").distinct().alias("w"), of_unit, "left_semi").distinct()
+    own = staged(own, "own")
+    turns = own.groupBy("conv_id", "unit").agg(F.count("*").alias("turns"))
+    rarest = wanted.alias("w").join(turns.alias("o"), of_unit).groupBy("w.conv_id", "digest", "id", "n").agg(
+        F.count("*").alias("known"), F.min(F.struct("turns", "w.unit"))["unit"].alias("unit")).where("known = n")
+    tried = rarest.alias("w").join(own.alias("o"), of_unit).select("w.conv_id", "digest", "id", "n", "turn")
+    asked = tried.alias("t").join(wanted.alias("w"), F.col("t.id") == F.col("w.id")).select("t.*", "w.unit")
+    said = asked.alias("w").join(own.alias("o"), of_unit & (F.col("w.turn") == F.col("o.turn")), "left_semi")
+    whole = said.groupBy("conv_id", "digest", "id", "n", "turn").agg(F.count("*").alias("found")).where("found = n")
+    return whole.groupBy("conv_id", "digest").agg(F.min("turn").alias("said"))
+
+
 def thread_messages(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, content, parent_turn, depth, thread, n_quoted, n_linked, formatted: one row per message.
 
@@ -62,12 +108,14 @@ def thread_messages(conversations: DataFrame) -> DataFrame:
     kept and share its place. An empty table gives no rows. Other columns are ignored.
     """
     messages = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), text_of(conversations).alias("text"))
-    quotes, own = quoted_passages(messages), own_passages(messages)
-    linked = quotes.alias("q").join(
-        own.alias("o"),
-        F.col("q.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("q.digest") == F.col("o.digest")) & (F.col("o.said") < F.col("q.turn")),
-        "left",
-    ).select("q.conv_id", "q.turn", "q.level", "o.said")
+    quotes, own = staged(quoted_passages(messages), "quotes"), own_passages(messages)
+    trimmed = trimmed_passages(messages, quotes)
+    said_before = lambda x: (
+        F.col("q.conv_id").eqNullSafe(F.col(f"{x}.conv_id")) & (F.col("q.digest") == F.col(f"{x}.digest")) & (F.col(f"{x}.said") < F.col("q.turn")))
+    linked = (
+        quotes.drop("bare").distinct().alias("q").join(own.alias("o"), said_before("o"), "left").join(trimmed.alias("t"), said_before("t"), "left")
+        .select("q.conv_id", "q.turn", "q.level", F.coalesce("o.said", "t.said").alias("said"))
+    )
     order = F.struct((-F.col("level")).alias("level"), F.col("said"))
     replies = linked.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quoted"), F.count("said").alias("n_linked"),

@@ -107,6 +107,21 @@ def test_quotes_link_replies(spark):
     assert seen[2, 0][1] is None and seen[1, 4][0] == ""
 
 
+def test_trimmed_quotes_link_replies(spark):
+    rows = [
+        (1, 0, "u", "Line one\nLine two\nLine three. It has more.\n\nSecond part.\n\nThird part."), (1, 1, "a", "Line two\nSecond part."),
+        (1, 2, "b", "> line two\n> line  three. It has more.\nYes"), (1, 3, "c", "> Second part.\n>\n> Third part.\nNo"), (1, 4, "d", "> It has more.\nMore?"),
+        (1, 5, "e", "> Line three. It\n> has more.\nWrapped"), (1, 6, "f", "> Line two\n> Line four\nUnknown"), (1, 7, "g", "> Line two\n> Yes\nOf two"),
+        (2, 0, "h", "> line two\n> line three. It has more.\nElsewhere"), (None, 0, "i", "One. Two. Three."), (None, 1, "j", "> Two. Three.\nOk"),
+        (3, 0, "k", "> A. B.\nAsks"), (3, 1, "l", "A. B. C."), (3, None, "m", "A. B."),
+    ]
+    got = quote_linking.thread_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    seen = {r.role: (r.parent_turn, r.n_quoted, r.n_linked) for r in got}
+    assert len(got) == len(rows)
+    assert {r: seen[r] for r in "bcde"} == {r: (0, 1, 1) for r in "bcde"} and seen["j"] == (0, 1, 1)
+    assert {r: seen[r] for r in "fghk"} == {r: (None, 1, 0) for r in "fghk"}
+
+
 def test_repeated_passages_are_cut(spark, docs, empty):
     passage = " ".join(f"p{i}" for i in range(60)) + "."
     rows = [(1, f"Own start one.\n{passage}\nOwn end one."), (2, f"Own start two. {passage} Own end two."), (3, "Own end one."), (4, None), (None, passage)]
