@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from palimp import model
@@ -9,7 +11,7 @@ from palimp.functions import patterns as P
 from palimp.functions.text import find_all
 from palimp.operators import audit, redact, verify
 from palimp.operators.terms import term_hits
-from palimp.plans.base import DOC_PAGES, FINDINGS, SURFACES, query
+from palimp.plans.base import DOC_PAGES, FINDINGS, ORACLES, SURFACES, query
 from palimp.plans.page_queries import doc_pages, docs, sized
 from palimp.sources.surfaces import surfaces_from_html
 from palimp.sources.tables import table
@@ -161,15 +163,18 @@ def span_overlap(spark, sf_dir):
 
 # --- proof ----------------------------------------------------------------------------------------
 
-def _staged_first_page(spark, sf_dir):
-    """Documents whose first page was redacted, as written; later pages still leak."""
+FIRST_PAGE = [1]
+
+
+def _staged(spark, sf_dir, pages):
+    """Documents as written after redaction; where only their first page was redacted, later pages still leak."""
     t = terms(spark, sf_dir)
-    staged = verify.stage(redact.redact_terms(doc_pages(spark, sf_dir), t, pages=[1]), "first")
+    staged = verify.stage(redact.redact_terms(doc_pages(spark, sf_dir), t, pages=pages), "redacted")
     return staged, t
 
 
-def _results(spark, sf_dir):
-    staged, t = _staged_first_page(spark, sf_dir)
+def _results(spark, sf_dir, pages):
+    staged, t = _staged(spark, sf_dir, pages)
     return verify.verify_pages(staged, doc_ids(spark, sf_dir), t)
 
 
@@ -178,8 +183,8 @@ def _flat(df):
 
 
 @query("verify_redaction", f"with {_CHECKS} select doc_id, check_id, passed, coalesce(evidence, '') as evidence, coalesce(array_to_string(pages, ','), '') as pages from checks")
-def verify_redaction(spark, sf_dir):
-    return _flat(_results(spark, sf_dir)).select("doc_id", "check_id", "passed", "evidence", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+def verify_redaction(spark, sf_dir, pages=FIRST_PAGE):
+    return _flat(_results(spark, sf_dir, pages)).select("doc_id", "check_id", "passed", "evidence", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query("check_evidence", f"""with {_SURFACE_HITS}, e as (select distinct doc_id, concat('redaction.', surface) as check_id, page_no,
@@ -194,21 +199,21 @@ def check_evidence(spark, sf_dir):
 
 
 @query("verified_docs", f"with {_CHECKS} select doc_id, count(*) as checks_run, bool_and(passed) as verified from checks group by doc_id")
-def verified_docs(spark, sf_dir):
-    return verify.verified_docs(doc_ids(spark, sf_dir), _results(spark, sf_dir))
+def verified_docs(spark, sf_dir, pages=FIRST_PAGE):
+    return verify.verified_docs(doc_ids(spark, sf_dir), _results(spark, sf_dir, pages))
 
 
 @query("failed_pages", f"with {_CHECKS} select doc_id, check_id, array_to_string(pages, ',') as pages from checks where not passed")
-def failed_pages(spark, sf_dir):
-    r = _results(spark, sf_dir).where("not passed")
+def failed_pages(spark, sf_dir, pages=FIRST_PAGE):
+    r = _results(spark, sf_dir, pages).where("not passed")
     return r.select("doc_id", "check_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query("suppression_targets", f"""with {_CHECKS}, {SURFACES}, web as (select distinct doc_id, page_no from surfaces join terms on case when surface = 'raw_content' then contains(translate(value, {_ALPHA}), translate(term, {_ALPHA})) else contains(lower(value), lower(term)) end)
  select 'documents' as corpus, doc_id, case when not passed then array_to_string(pages, ',') end as pages from checks
  union all select 'pages', page_id, case when count(w.doc_id) = 0 or bool_or(w.page_no is null) then null else string_agg(distinct page_no::varchar, ',') end from pages left join web w on page_id = w.doc_id group by page_id""")
-def suppression_targets(spark, sf_dir):
-    staged, t = _staged_first_page(spark, sf_dir)
+def suppression_targets(spark, sf_dir, pages=FIRST_PAGE):
+    staged, t = _staged(spark, sf_dir, pages)
     plain = verify.suppression_targets(verify.verify_pages(staged, doc_ids(spark, sf_dir), t)).withColumn("corpus", F.lit("documents"))
     web = verify.suppression_targets(verify.verify_surfaces(surfaces(spark, sf_dir), page_ids(spark, sf_dir), t)).withColumn("corpus", F.lit("pages"))
     return plain.unionByName(web).select("corpus", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
@@ -236,8 +241,8 @@ _RELEASE = f"""{_LEFT}, h as (select doc_id, cast(sum(hits) as bigint) as hits f
 
 @query("fail_closed_release", f"""with {_RELEASE} select r.doc_id, r.hits, status, page_no, text from report r join redacted p on r.doc_id = p.doc_id where status <> 'no_match'
  union all select doc_id, hits, status, null, null from report where status = 'no_match'""")
-def fail_closed_release(spark, sf_dir):
-    released, quarantined, report = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=[1])
+def fail_closed_release(spark, sf_dir, pages=FIRST_PAGE):
+    released, quarantined, report = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=pages)
     text = released.unionByName(quarantined)
     none = F.lit(None)
     empty = report.where("status = 'no_match'").select(
@@ -248,11 +253,20 @@ def fail_closed_release(spark, sf_dir):
 @query("suppress_pages", f"""with {_LEFT}, h as (select doc_id, cast(sum(hits) as bigint) as hits from redacted group by doc_id), bad as (select distinct doc_id, page_no from still)
  select p.doc_id, p.page_no, case when b.doc_id is null then p.text else '' end as text, 'released' as status
  from redacted p join h on p.doc_id = h.doc_id left join bad b on p.doc_id = b.doc_id and p.page_no = b.page_no where h.hits > 0""")
-def suppress_pages(spark, sf_dir):
-    released, _, _ = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=[1], suppress=True)
+def suppress_pages(spark, sf_dir, pages=FIRST_PAGE):
+    released, _, _ = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=pages, suppress=True)
     return released.withColumn("status", F.lit("released"))
 
 
+def over_all_pages(fn):
+    """Register a query once more, over all pages of every document instead of the first, in the code and in its oracle."""
+    query(f"{fn.__name__}_all_pages", ORACLES[fn.__name__].replace("p.page_no = 1", "true"))(functools.partial(fn, pages=None))
+
+
+for _fn in (verify_redaction, verified_docs, failed_pages, suppression_targets, fail_closed_release, suppress_pages):
+    over_all_pages(_fn)
+
+
 _DEFAULTS = {o: d for o, (d, _) in model.SANITIZE_SWITCHES.items()}
 _EVERYTHING = {o: True for o in model.SANITIZE_SWITCHES}
 _PROMISED = ", ".join(f"('{o}', '{f}')" for o, (_, fs) in model.SANITIZE_SWITCHES.items() for f in fs)

@@ -8,7 +8,7 @@ from palimp import model
 from palimp.operators import pages
 from palimp.plans.base import DOC_PAGES, FINDINGS, query
 from palimp.plans.page_queries import doc_pages, docs, sized
-from palimp.plans.redact_queries import terms, _RELEASE
+from palimp.plans.redact_queries import FIRST_PAGE, over_all_pages, terms, _RELEASE
 from palimp.session import scratch_path
 from palimp.sources import payloads
 from palimp.sources.sinks import write_split
@@ -82,6 +82,9 @@ def stream_op_metrics(spark, sf_dir):
 
 
 @query("stream_redact_release", f"with {_RELEASE} select doc_id, hits, verified, status from report")
-def stream_redact_release(spark, sf_dir):
+def stream_redact_release(spark, sf_dir, pages=FIRST_PAGE):
     found = terms(spark, sf_dir)
-    return streams.redact_release_stream(streams.landing(spark, sf_dir, "documents"), paginate, found, pages=[1])
+    return streams.redact_release_stream(streams.landing(spark, sf_dir, "documents"), paginate, found, pages=pages)
+
+
+over_all_pages(stream_redact_release)
