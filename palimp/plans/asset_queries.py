@@ -9,7 +9,7 @@ from palimp.functions.text import gps_decimal
 from palimp.operators import assets as ops
 from palimp.operators import images
 from palimp.operators.dedup import distinct_objects
-from palimp.plans.base import query
+from palimp.plans.base import ORACLES, query
 from palimp.sources import tables
 
 _ASSETS = f"assets as ({tables.ASSETS_SQL.format(lineitem='lineitem')})"
@@ -47,6 +47,12 @@ def asset_extract_plan(spark, sf_dir):
     return ops.extract_plan(tables.assets(spark, sf_dir), "png", 10_000).select("doc_id", "page_no", "obj_id", "ext", "route", "mode")
 
 
+@query("asset_extract_plan_all_sizes", ORACLES["asset_extract_plan"].replace(" where pixel_w * pixel_h >= 10000", ""))
+def asset_extract_plan_all_sizes(spark, sf_dir):
+    """Every image, as the reference does by default."""
+    return ops.extract_plan(tables.assets(spark, sf_dir)).select("doc_id", "page_no", "obj_id", "ext", "route", "mode")
+
+
 @query("asset_features", f"with {_FEATURES} select doc_id, obj_id, page_no, raw_size, round(dpi, 6) as dpi, est_quality, is_mono, too_large from features")
 def asset_features(spark, sf_dir):
     return features(spark, sf_dir).select("doc_id", "obj_id", "page_no", "raw_size", F.round("dpi", 6).alias("dpi"), "est_quality", "is_mono", "too_large")
@@ -60,6 +66,15 @@ def asset_skip_reason(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("raw_size").cast("bigint").alias("bytes"))
 
 
+@query("asset_skip_reason_all_sizes", f"with {_PLANNED} select preset, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome, count(*) as n, cast(sum(raw_size) as bigint) as bytes from skips group by 1, 2")
+def asset_skip_reason_all_sizes(spark, sf_dir):
+    """Every image; oversized ones have an outcome of their own."""
+    outcome = lambda p: F.when(F.col("too_large"), "skipped_bomb").otherwise(F.coalesce(ops.skip_reason(p), F.lit("process")))
+    reasons = F.array(*[F.struct(F.lit(p[0]).alias("preset"), outcome(p).alias("outcome")) for p in model.PRESETS])
+    return features(spark, sf_dir).select("raw_size", F.explode(reasons).alias("r")).groupBy("r.preset", "r.outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("raw_size").cast("bigint").alias("bytes"))
+
+
 @query("asset_encode_route", f"""with {_PLANNED} select doc_id, obj_id, route, scale < 0.95::double as downscaled,
  cast(case when scale < 0.95::double then greatest(1, floor(pixel_w * scale)) else pixel_w end as bigint) as new_w, cast(case when scale < 0.95::double then greatest(1, floor(pixel_h * scale)) else pixel_h end as bigint) as new_h
  from skips where preset = 'standard' and not too_large and skip is null""")
@@ -67,6 +82,26 @@ def asset_encode_route(spark, sf_dir):
     return ops.encode_plan(features(spark, sf_dir), STANDARD).select("doc_id", "obj_id", "route", "downscaled", "new_w", "new_h")
 
 
+_ROUTED = "not too_large and skip is null"
+
+
+@query("asset_encode_route_all_presets", f"""with {_PLANNED} select preset, doc_id, obj_id, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome,
+ case when {_ROUTED} then route end as route, case when {_ROUTED} then scale < 0.95::double end as downscaled,
+ cast(case when {_ROUTED} then case when scale < 0.95::double then greatest(1, floor(pixel_w * scale)) else pixel_w end end as bigint) as new_w,
+ cast(case when {_ROUTED} then case when scale < 0.95::double then greatest(1, floor(pixel_h * scale)) else pixel_h end end as bigint) as new_h from skips""")
+def asset_encode_route_all_presets(spark, sf_dir):
+    """A row per image and preset; images that are skipped say why and have no route."""
+    def plan(p):
+        s, done = ops.scale(p), ~F.col("too_large") & ops.skip_reason(p).isNull()
+        side = lambda c: F.when(done, F.when(s < 0.95, F.greatest(F.lit(1), F.floor(F.col(c) * s))).otherwise(F.col(c))).cast("bigint")
+        outcome = F.when(F.col("too_large"), "skipped_bomb").otherwise(F.coalesce(ops.skip_reason(p), F.lit("process")))
+        return F.struct(F.lit(p[0]).alias("preset"), outcome.alias("outcome"), F.when(done, ops.encode_route()).alias("route"),
+                        F.when(done, s < 0.95).alias("downscaled"), side("pixel_w").alias("new_w"), side("pixel_h").alias("new_h"))
+
+    plans = features(spark, sf_dir).select("doc_id", "obj_id", F.explode(F.array(*[plan(p) for p in model.PRESETS])).alias("r"))
+    return plans.select("r.preset", "doc_id", "obj_id", "r.outcome", "r.route", "r.downscaled", "r.new_w", "r.new_h")
+
+
 _K = "case when jpeg_q >= 90 then 0.35::double when jpeg_q >= 75 then 0.18::double when jpeg_q >= 60 then 0.10::double when jpeg_q >= 40 then 0.06::double else 0.04::double end"
 
 
