@@ -1,5 +1,7 @@
 """Registers the queries of this package."""
 
 # Importing an operator registers its query.
-from palimp.llm import content_dedup, line_dedup, maxscore, minhash_tensor, mixing, piece_lattice, ppm, quote_linking, token_counts, toxicity  # noqa: F401
+from palimp.llm import (  # noqa: F401
+    content_dedup, decontamination, line_dedup, maxscore, minhash_tensor, mixing, piece_lattice, ppm, quote_linking, token_counts, toxicity,
+)
 from palimp.llm.base import ORACLES, QUERIES  # noqa: F401
