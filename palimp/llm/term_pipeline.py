@@ -183,7 +183,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
     starts = index.select("shard", "ids", "lengths", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("shard"), F.lit(n_places)).alias("place"))
     plans = plans.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_places - 1).cast("long"))))
     none = F.lit(b"")
-    bundles = starts.join(plans, ["block", "place"]).select(
+    bundles = starts.join(plans.hint("merge"), ["block", "place"]).select(  # neither side has a bound for a broadcast
         "shard", "block", "ids", "lengths", "items", "terms", none.alias("at_item"), none.alias("at_doc"), none.alias("score"), none.alias("least"))
     for stage in range(len(SHARES) + 1):
         mine = postings.where(F.col("owner") == stage).select("shard", "block", "term", "slots", "tfs")
