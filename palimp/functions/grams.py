@@ -63,9 +63,18 @@ def needle_anchors(needle: Column) -> Column:
     return anchors(needle)
 
 
-def text_anchors(text: Column, classes: list[int], known: np.ndarray | None = None) -> Column:
-    """Distinct anchors of a whole text in the given classes; with ``known`` only those among them."""
-    wanted = None if known is None else np.unique(known.astype(np.int64))
+def let_pass(anchors: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """The anchors that a Bloom filter of 64-bit words knows; an anchor's two bits are its low half and its high half."""
+    bits = anchors.view(np.uint64)
+    known = np.ones(len(bits), dtype=bool)
+    for half in (bits, bits >> np.uint64(32)):
+        place = half & np.uint64(len(bloom) * 64 - 1)
+        known &= (bloom[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return anchors[known]
+
+
+def text_anchors(text: Column, classes: list[int], bloom: np.ndarray) -> Column:
+    """Distinct anchors of a whole text in the given classes that the filter lets pass."""
 
     @F.pandas_udf("array<bigint>")
     def anchors(texts: pd.Series) -> pd.Series:
@@ -73,7 +82,6 @@ def text_anchors(text: Column, classes: list[int], known: np.ndarray | None = No
             if not t:
                 return np.empty(0, dtype=np.int64)
             codes = _codes(t)
-            found = np.unique(np.concatenate([_class_anchors(codes, c) for c in classes])).view(np.int64)
-            return found if wanted is None else found[np.isin(found, wanted)]
+            return let_pass(np.unique(np.concatenate([_class_anchors(codes, c) for c in classes])).view(np.int64), bloom)
         return texts.map(one)
     return anchors(text)

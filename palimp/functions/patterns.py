@@ -3,12 +3,12 @@
 They use only syntax that Java and RE2 read the same way: explicit classes, no look-around.
 """
 
-_QUOTED = r"""[ \t]*=[ \t]*(?:"([^"]*)"|'([^']*)')"""
+_VALUE = r"""[ \t]*=[ \t]*(?:"([^"]*)"|'([^']*)'|([^ \t\r\n"'<>=`]+))"""
 
 
 def attribute(names: str) -> str:
-    """Groups: 1 = attribute name, 2 or 3 = value."""
-    return rf"(?i)[ \t\r\n]({names}){_QUOTED}"
+    """Groups: 1 = attribute name, 2, 3 or 4 = value."""
+    return rf"(?i)[ \t\r\n]({names}){_VALUE}"
 
 
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script[^>]*>"
@@ -29,7 +29,7 @@ IFRAME = r"(?i)<iframe[^>]*>"
 EMBED = r"(?i)<embed[^>]*>"
 OBJECT = r"(?i)<object[^>]*>"
 DATA_URI = r"""(?i)["'](data:[^"']*)["']"""
-HANDLER = r"""(?i)[ \t\r\n](on[a-z]+)[ \t]*=[ \t]*(?:"([^"]*)"|'([^']*)')"""
+HANDLER = attribute("on[a-z]+")
 META_REFRESH = r"""(?i)<meta[^>]*http-equiv[ \t]*=[ \t]*["']?refresh[^>]*>"""
 HIDDEN_BLOCK = r"(?i)<template[ \t\r\n>]|<[a-z0-9]+[^>]*[ \t\r\n]hidden[ \t\r\n=>/]"
 HIDDEN_STYLE = (r"""(?i)[;"'{ \t\r\n](?:display[ \t]*:[ \t]*none|visibility[ \t]*:[ \t]*hidden"""

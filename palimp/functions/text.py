@@ -18,9 +18,13 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def attr_value(tag: Column, names: str) -> Column:
-    """Value of the first of the named attributes in a tag, quoted either way."""
-    p = P.attribute(names)
-    return F.concat(first_match(tag, p, 2), first_match(tag, p, 3))
+    """Value of the first of the named attributes in a tag, quoted either way or not at all."""
+    return matched_value(tag, P.attribute(names))
+
+
+def matched_value(match: Column, pattern: str) -> Column:
+    """The value in a match of an attribute pattern."""
+    return F.concat(*[first_match(match, pattern, group) for group in (2, 3, 4)])
 
 
 def fold(text: Column) -> Column:

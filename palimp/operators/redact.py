@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimp import model
-from palimp.operators.terms import FEW_TERMS, literal_hits, removal_pattern, term_hits
+from palimp.functions.matching import Matcher, matcher_of
+from palimp.operators.terms import FEW_TERMS, broadcast_terms, literal_hits, removal_pattern, term_hits
+from palimp.session import ship_by_value
+
+ship_by_value(__name__)
 
 
 def page_surfaces(doc_pages: DataFrame) -> DataFrame:
@@ -26,14 +33,10 @@ def redact_terms(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool =
     in_scope = F.lit(True) if pages is None else F.col("page_no").isin(pages)
     literal = literal_hits(terms, case_sensitive, kw.get("few", FEW_TERMS))
     none = F.array().cast("array<string>")
-    if literal is not None:
-        # Few terms: found and removed inside each row, nothing is shuffled.
-        found = page_surfaces(doc_pages).select("doc_id", "page_no", F.col("value").alias("original"), F.when(in_scope, literal).otherwise(none).alias("found"))
-    else:
-        hits = page_hits(doc_pages.where(in_scope), terms, case_sensitive=case_sensitive, **kw)
-        # A page's own distinct terms: bounded by the length of that page.
-        per_page = hits.groupBy("doc_id", "page_no").agg(F.collect_list("term").alias("found"))
-        found = doc_pages.withColumnRenamed("text", "original").join(per_page, ["doc_id", "page_no"], "left")
+    if literal is None:
+        return _redact_many(doc_pages, terms, case_sensitive, in_scope, **kw)
+    # Few terms: found and removed inside each row, nothing is shuffled.
+    found = page_surfaces(doc_pages).select("doc_id", "page_no", F.col("value").alias("original"), F.when(in_scope, literal).otherwise(none).alias("found"))
     longest_first = F.array_sort(F.transform(F.coalesce("found", none), lambda t: F.struct((-F.length(t)).alias("o"), t.alias("term"))))
     todo = F.transform(longest_first, lambda t: removal_pattern(t["term"], case_sensitive))
     staged = found.select("doc_id", "page_no", "original", todo.alias("todo"))
@@ -42,6 +45,44 @@ def redact_terms(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool =
     return staged.select("doc_id", "page_no", text.alias("text"), count.alias("hits"))
 
 
+def _redact_many(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool, in_scope: Column, **kw) -> DataFrame:
+    """Removal by an automaton: of all terms where they can be broadcast, else of the terms that the join found on the page."""
+    bounds = {k: v for k, v in kw.items() if k == "bound"}
+    shared = broadcast_terms(terms, case_sensitive, **bounds)
+    rows = doc_pages.select("doc_id", "page_no", "text", F.coalesce(in_scope, F.lit(False)).alias("scope"))
+    if shared is None:
+        hits = page_hits(doc_pages.where(in_scope), terms, case_sensitive=case_sensitive, **kw)
+        # A page's own distinct terms: bounded by the length of that page.
+        per_page = hits.groupBy("doc_id", "page_no").agg(F.collect_list("term").alias("found"))
+        rows = rows.join(per_page, ["doc_id", "page_no"], "left")
+    mark = model.REDACTION_MARK
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everything = matcher_of(shared.value) if shared else None
+        for batch in batches:
+            own = batch.column("found").to_pylist() if shared is None else [None] * batch.num_rows
+            texts, counts = [], []
+            for text, scope, found in zip(batch.column("text").to_pylist(), batch.column("scope").to_pylist(), own):
+                matcher = everything or Matcher(found or [], case_sensitive)
+                spans, n = matcher.chosen(text, "page_text") if text and scope else ([], 0)
+                texts.append(without(text, spans, mark) if spans else text)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("page_no"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "page_no", "text", "hits"])
+
+    kinds = dict(doc_pages.dtypes)
+    return rows.mapInArrow(cut, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, text string, hits bigint")
+
+
+def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with a mark for each of the sorted spans."""
+    pieces, at = [], 0
+    for start, end in spans:
+        pieces += [text[at:start], mark]
+        at = end
+    return "".join(pieces) + text[at:]
+
+
 def _hit_rows(surfaces: DataFrame, terms: DataFrame, **kw) -> DataFrame:
     return term_hits(surfaces, ["doc_id", "pos"], terms, **kw).select("doc_id", "pos").distinct()
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions import patterns as P
-from palimp.session import checkpointed
+from palimp.functions.markup import Attribute, Part, edited, parts
+from palimp.session import checkpointed, ship_by_value
+
+ship_by_value(__name__)
 
 # Not characters: they stand for a linked-data script while other scripts are removed.
 _OPEN, _MID, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -46,8 +53,98 @@ def enabled_steps(options: dict[str, bool]) -> list[tuple[str, str, str, str]]:
     return steps
 
 
+#: Attributes that show their value as text, so that no scheme in it is followed.
+SHOWN = {"alt", "title", "content", "value", "placeholder", "label", "aria-label"}
+_EXE_URL = re.compile(rf"{_EXE}(?:[?#].*)?$")
+
+
+def _attribute_edit(tag: Part, a: Attribute, on: set[str], counts: Counter) -> tuple[int, int, str] | None:
+    """What a switch does to an attribute, however its value is quoted or encoded."""
+    target = re.sub("[\x00-\x20]+", "", a.value).lower()  # blanks in a scheme are read over
+    switch, start, new = None, a.start, ""
+    if a.name not in SHOWN and target.startswith(("javascript:", "vbscript:")) and "javascript" in on:
+        switch = "javascript"
+    elif a.name == "href" and (target.startswith("file:") or _EXE_URL.search(target)) and "launch_actions" in on:
+        switch = "launch_actions"
+    elif re.fullmatch("on[a-z]+", a.name) and {"auto_actions", "javascript"} & on:
+        switch = "auto_actions" if "auto_actions" in on else "javascript"
+    elif a.name == "download" and "embedded_files" in on:
+        switch = "embedded_files"
+    elif a.name not in SHOWN and target.startswith("data:") and "embedded_files" in on:
+        switch, start, new = "embedded_files", a.value_start, '""'
+    elif (a.name == "formaction" or a.name == "action" and tag.name == "form") and a.value_start >= 0 and "submit_actions" in on:
+        switch = "submit_actions"
+    elif a.name == "srcdoc" and strictly(a.value, on)[0] != a.value:  # a page within the page
+        switch = "javascript" if "javascript" in on else min(on)
+    if switch is None:
+        return None
+    counts[switch] += 1
+    return start, a.end, new
+
+
+def _tag_switch(tag: Part, href: bool, on: set[str]) -> str | None:
+    """The switch that drops a whole tag."""
+    values = {a.name: a.value.strip().lower() for a in reversed(tag.attributes)}  # the first of a name counts
+    if tag.name == "meta" and values.get("http-equiv") == "refresh" and "auto_actions" in on:
+        return "auto_actions"
+    if tag.name in ("embed", "object") and "embedded_files" in on:
+        return "embedded_files"
+    if tag.name == "a" and href and "external_links" in on:
+        return "external_links"
+    if tag.name == "meta" and ("name" in values or "property" in values) and "metadata" in on:
+        return "metadata"
+    return None
+
+
+def strict_pass(page: str, on: set[str], counts: Counter, inert: bool = False) -> str:
+    """One pass over the parts of a page."""
+    edits: list[tuple[int, int, str]] = []
+    dropping = False  # inside of a script that goes
+    for p in parts(page, inert):
+        if p.kind == "open" and p.name == "script":
+            linked = any("application/ld+json" in a.value.lower() for a in p.attributes)
+            switch = "metadata" if linked else "javascript"
+            dropping = switch in on
+            counts[switch] += dropping
+        if p.name == "script" and dropping:
+            edits.append((p.start, p.end, ""))
+            dropping = p.kind != "close"
+        elif p.kind == "open":
+            mine = [e for a in p.attributes if (e := _attribute_edit(p, a, on, counts))]
+            gone = {start for start, _, new in mine if not new}
+            switch = _tag_switch(p, any(a.name == "href" and a.start not in gone for a in p.attributes), on)
+            if switch:
+                counts[switch] += 1
+                mine = [(p.start, p.end, "")]
+            edits += mine
+        elif p.kind == "close" and p.name == "a" and "external_links" in on:
+            edits.append((p.start, p.end, ""))
+        elif p.kind == "raw" and p.name == "title" and "metadata" in on and page[p.start : p.end].strip():
+            counts["metadata"] += 1
+            edits.append((p.start, p.end, ""))
+        elif p.kind == "comment" or p.kind == "raw" and p.name != "script":
+            inside = strict_pass(page[p.start : p.end], on, counts, inert=True)
+            if inside != page[p.start : p.end]:
+                edits.append((p.start, p.end, inside))
+    return edited(page, edits) if edits else page
+
+
+def strictly(page: str, on: set[str]) -> tuple[str, Counter]:
+    """Passes until nothing changes, as what is left of a removal may close up to new markup."""
+    counts: Counter = Counter()
+    while True:
+        after = strict_pass(page, on, counts)
+        if after == page:
+            return page, counts
+        page = after
+
+
 def sanitize_documents(pages: DataFrame, options: dict[str, bool]) -> DataFrame:
-    """(doc_id, html, removed map, total). One projection per step, so each pattern runs on the result before it."""
+    """(doc_id, html, removed map, total). The page's parts have the last word, whatever patterns have removed before.
+
+    One projection per step, so each pattern runs on the result before it; then the page is read as browsers read it, with
+    unquoted and unclosed values, entities, comments and raw text, and rewritten to a fixed point.
+    """
     df = pages.select(F.col("page_id").alias("doc_id"), F.translate("html", _OPEN + _MID + _CLOSE, "").alias("html"))
     counted: dict[str, list[str]] = {s: [] for s in STEPS}
     for i, (switch, kind, pattern, replacement) in enumerate(enabled_steps(options)):
@@ -63,10 +160,19 @@ def sanitize_documents(pages: DataFrame, options: dict[str, bool]) -> DataFrame:
         counted[switch].append(name)
         if kind == "script":
             df = df.withColumn("html", F.regexp_replace("html", f"{_OPEN}([^{_MID}]*){_MID}([^{_CLOSE}]*){_CLOSE}", "<script$1>$2</script>"))
-    zero = F.lit(0).cast("bigint")
-    totals = {s: reduce(lambda a, b: a + b, [F.coalesce(F.col(n), zero) for n in names], zero) for s, names in counted.items()}
-    removed = F.map_from_arrays(F.array(*[F.lit(s) for s in totals]), F.array(*totals.values()))
-    return df.select("doc_id", "html", removed.alias("removed"), reduce(lambda a, b: a + b, totals.values()).alias("total"))
+    zero, on = F.lit(0).cast("bigint"), {o for o, enabled in options.items() if enabled}
+    totals = [reduce(lambda a, b: a + b, [F.coalesce(F.col(n), zero) for n in names], zero).alias(s) for s, names in counted.items()]
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [(None, Counter()) if page is None else strictly(page, on) for page in batch.column("html").to_pylist()]
+            more = [pa.array([n + c[s] for n, (_, c) in zip(batch.column(s).to_pylist(), done)], pa.int64()) for s in STEPS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([page for page, _ in done], pa.string()), *more], ["doc_id", "html", *STEPS])
+
+    df = df.select("doc_id", "html", *totals)
+    df = df.mapInArrow(rewrite, df.schema)
+    removed = F.map_from_arrays(F.array(*[F.lit(s) for s in STEPS]), F.array(*STEPS))
+    return df.select("doc_id", "html", removed.alias("removed"), reduce(lambda a, b: a + b, [F.col(s) for s in STEPS]).alias("total"))
 
 
 def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -1,26 +1,37 @@
 """Which terms occur in which texts: an exact substring join that never pairs all terms with all texts.
 
-Three plans, chosen by the counted number of terms:
+Three plans, chosen by the counted number and bytes of the terms:
 * few terms: an array of literals filtered inside each row, no join and no Python;
-* up to a broadcast bound: each text emits only the anchors that some term owns, a broadcast hash join on
-  the anchor gives candidates, ``contains`` confirms them; texts are not shuffled;
-* beyond it: anchors of both sides are shuffled without the texts, and the candidates are joined back.
-Every term owns the anchor that is rarest among the terms, so terms with a common part spread out.
+* up to a broadcast bound: one automaton of all terms is run once over each text, where the text lies;
+* beyond it: every term owns the anchor that is rarest among the terms. Texts emit the anchors that a Bloom filter of the owned
+  ones lets pass, anchors of both sides are shuffled without the texts, hot ones salted, and the candidates are joined back
+  and confirmed by ``contains``.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimp.functions import grams
+from palimp.functions.matching import matcher_of
 from palimp.functions.text import ascii_fold, dehyphenate, escape_regex, fold, squeeze
-from palimp.operators.skew import BROADCAST_ROWS
+from palimp.session import scratch_path, ship_by_value
+
+ship_by_value(__name__)
 
 FEW_TERMS = 256
+#: Terms, and bytes of them, of an automaton that is broadcast; it takes about 200 bytes of memory for a byte of its terms.
+AUTOMATON_TERMS, AUTOMATON_BYTES = 300_000, 4 << 20
+#: Bits of the Bloom filter of anchors for each term, and at most (16 MB).
+BLOOM_BITS, MOST_BLOOM_BITS = 16, 1 << 27
+#: Rows of one anchor from which it is hot, and the places that it is then dealt to.
+HOT_ANCHOR, SALTS = 100_000, 64
 KINDS = ("page_text", "raw_content", "other")
 _VIEW_BREAK = "\uffff"  # not a character, so no term spans two views
 
@@ -50,7 +61,7 @@ def _kind(surface: Column) -> Column:
 
 
 def term_hits(rows: DataFrame, keys: list[str], terms: DataFrame, case_sensitive: bool = False,
-              few: int = FEW_TERMS, bound: int = BROADCAST_ROWS) -> DataFrame:
+              few: int = FEW_TERMS, bound: int = AUTOMATON_TERMS, hot: int = HOT_ANCHOR) -> DataFrame:
     """rows(keys.., surface, value) and terms(term) to every (keys.., surface, term) that occurs.
 
     ``keys`` identify a row.
@@ -60,16 +71,40 @@ def term_hits(rows: DataFrame, keys: list[str], terms: DataFrame, case_sensitive
         # The outer form keeps the optimiser from evaluating the array again as a filter.
         every = rows.select(*keys, "surface", F.explode_outer(literal).alias("term"))
         return every.where("term is not null")
-    wanted = usable(terms)
-    n_terms = wanted.limit(bound + 1).count()
+    shared = broadcast_terms(terms, case_sensitive, bound)
+    if shared is not None:
+        return _by_automaton(rows, keys, shared)
     kind = _kind(F.col("surface"))
     searched = rows.select(*keys, "surface", kind.alias("kind"), hay(kind, F.col("value"), case_sensitive).alias("hay"))
-    needles = wanted.select("term", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
+    needles = usable(terms).select("term", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
     needles = needles.withColumn("needle", needle(F.col("kind"), F.col("term"), case_sensitive))
-    owned = _owned_anchors(needles)
-    if n_terms <= bound:
-        return _by_broadcast(searched, keys, owned)
-    return _by_shuffle(searched, keys, owned)
+    return _by_shuffle(searched, keys, _owned_anchors(needles), hot)
+
+
+def broadcast_terms(terms: DataFrame, case_sensitive: bool = False, bound: int = AUTOMATON_TERMS):
+    """The usable terms as a broadcast for :func:`matcher_of`, or None where they are more than the bounds."""
+    wanted = usable(terms)
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n > bound or size > AUTOMATON_BYTES:
+        return None
+    held = {"terms": sorted(r.term for r in wanted.collect()), "case_sensitive": case_sensitive}
+    return terms.sparkSession.sparkContext.broadcast(held)
+
+
+def _by_automaton(rows: DataFrame, keys: list[str], shared) -> DataFrame:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = matcher_of(shared.value)
+        for batch in batches:
+            kinds = [s if s in KINDS else KINDS[-1] for s in batch.column("surface").to_pylist()]
+            found = [matcher.found(v, k) if v else [] for v, k in zip(batch.column("value").to_pylist(), kinds)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+            terms = pa.array([t for f in found for t in f], pa.string())
+            kept = batch.drop_columns(["value"]).take(at)
+            yield pa.RecordBatch.from_arrays([*kept.columns, terms], [*kept.schema.names, "term"])
+
+    held = rows.select(*keys, "surface", "value")
+    schema = held.drop("value").schema.add("term", "string")
+    return held.mapInArrow(search, schema)
 
 
 def literal_hits(terms: DataFrame, case_sensitive: bool = False, few: int = FEW_TERMS) -> Column | None:
@@ -107,23 +142,40 @@ def _classes(owned: DataFrame) -> list[int]:
     return sorted(r.c for r in owned.select(cls.alias("c")).distinct().collect())
 
 
-def _by_broadcast(searched: DataFrame, keys: list[str], owned: DataFrame) -> DataFrame:
-    # At most three rows per term, and the number of terms is below the broadcast bound.
-    held = owned.toPandas()
-    classes = sorted({grams.needle_class(len(n)) for n in held["needle"]})
-    small = F.broadcast(searched.sparkSession.createDataFrame(held, owned.schema))
-    known = held["anchor"].to_numpy(dtype=np.int64)
-    candidates = searched.withColumn("anchor", F.explode_outer(grams.text_anchors(F.col("hay"), classes, known)))
-    return candidates.join(small, ["kind", "anchor"]).where(F.contains("hay", "needle")).select(*keys, "surface", "term")
-
-
-def _by_shuffle(searched: DataFrame, keys: list[str], owned: DataFrame) -> DataFrame:
-    emitted = searched.select(*keys, "surface", "kind", F.explode_outer(grams.text_anchors(F.col("hay"), _classes(owned))).alias("anchor"))
-    candidates = emitted.join(owned, ["kind", "anchor"]).drop("kind", "anchor")
+def anchor_filter(owned: DataFrame) -> np.ndarray:
+    """A Bloom filter of the owned anchors as 64-bit words, of bounded size, put together by the tasks word by word."""
+    size = 1 << 16
+    while size < min(BLOOM_BITS * owned.count(), MOST_BLOOM_BITS):
+        size *= 2
+    places = [F.col("anchor").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("anchor", 32).bitwiseAND(F.lit(size - 1))]
+    bits = owned.select(F.explode(F.array(*places)).alias("bit"))
+    bit = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(size // 64, dtype=np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table
+
+
+def _by_shuffle(searched: DataFrame, keys: list[str], owned: DataFrame, hot: int) -> DataFrame:
+    owned = _written(owned, "anchors")
+    passed = grams.text_anchors(F.col("hay"), _classes(owned), anchor_filter(owned))
+    emitted = _written(searched.select(*keys, "surface", "kind", F.explode_outer(passed).alias("anchor")).where("anchor is not null"), "emitted")
+    # A hot anchor's terms are repeated at every place that its texts are dealt to.
+    often = emitted.groupBy("kind", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("kind", "anchor", F.lit(SALTS).alias("places"))
+    places = F.coalesce("places", F.lit(1))
+    dealt = emitted.join(often, ["kind", "anchor"], "left").withColumn("place", F.pmod(F.xxhash64(*keys), places)).drop("places")
+    spread = owned.join(often, ["kind", "anchor"], "left").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), places - F.lit(1).cast("long")))).drop("places")
+    candidates = dealt.join(spread, ["kind", "anchor", "place"]).drop("kind", "anchor", "place")
     confirmed = candidates.join(searched.select(*keys, "surface", "hay"), [*keys, "surface"])
     return confirmed.where(F.contains("hay", "needle")).select(*keys, "surface", "term")
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def removal_pattern(term: Column, case_sensitive: bool = False) -> Column:
     """A pattern that finds the term in any of the searched views, also across a line break or hyphenation."""
     breaks = r"(?:-\n)*"

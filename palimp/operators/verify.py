@@ -150,6 +150,46 @@ def promise_checks(docs: DataFrame, findings: DataFrame, options: dict[str, bool
     return done.unionByName(unreadable)
 
 
+def decoded(html: Column) -> Column:
+    """The page with character references to ASCII, and to the marks that part a scheme, as plain characters."""
+    refs = F.array_distinct(F.regexp_extract_all(html, F.lit("(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});?"), F.lit(0)))
+    digits = lambda r: F.regexp_extract(r, "(?i)&#x?([0-9a-f]+)", 1)
+    code = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("bigint")
+    ascii_ = F.filter(F.transform(refs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("ref"), code(r).alias("code"))), lambda r: r["code"] < 128)
+    plain = F.aggregate(F.array_sort(ascii_), html, lambda acc, r: F.replace(acc, r["ref"], F.char(r["code"])))
+    for name, char in (("colon", ":"), ("tab", " "), ("newline", " "), ("sol", "/")):
+        plain = F.regexp_replace(plain, f"(?i)&{name};", char)
+    return plain
+
+
+_B = r"[\x00-\x20]*"
+_JS = _B.join("javascript") + _B + ":"
+_SHOWN = "alt|title|content|value|placeholder|label|aria-label"  # shown, not followed
+#: Loose signs of what a sanitised page must not hold, looked for in the decoded page. They share nothing with the removal.
+ACTIVE_SIGNS = {
+    "scripts.js": [r"(?i)<script(?![^>]*application/ld\+json)[^>]{0,40}", rf"(?i)<[a-z][^<]*[\s/\"'](?!(?:{_SHOWN})\s*=)[a-z:_-]+\s*=[\s\"']*{_JS}"],
+    "actions.launch": [rf"(?i)<[a-z][^<]*[\s/\"']href\s*=[\s\"']*{_B}file:"],
+    "actions.autorun": [r"(?i)<[a-z][^<]*[\s/\"'](on[a-z]+)\s*=", r"(?i)<meta[^>]*http-equiv\s*=[\s\"']*refresh"],
+    "forms.submit": [r"(?i)<form[^<]*[\s/\"']action\s*=", r"(?i)<[a-z][^<]*[\s/\"']formaction\s*="],
+    "files.embedded": [r"(?i)<(?:embed|object)[\s/>]", r"(?i)<[a-z][^<]*[\s/\"']download\s*=", rf"(?i)<[a-z][^<]*[\s/\"'](?:href|src|data)\s*=[\s\"']*{_B}data:"],
+    "links.uri": [r"(?i)<a[\s/][^>]*href\s*="],
+}
+
+
+def active_evidence(pages: DataFrame) -> DataFrame:
+    """(doc_id, id, items): the loose signs of each finding in pages(page_id, html)."""
+    page = pages.select(F.col("page_id").alias("doc_id"), decoded(F.col("html")).alias("page"))
+    signs = [F.struct(F.lit(fid).alias("id"), F.filter(F.array(*[F.regexp_extract("page", p, 0) for p in ps]), lambda m: m != "").alias("items"))
+             for fid, ps in ACTIVE_SIGNS.items()]
+    return page.select("doc_id", F.inline(F.array(*signs))).where(F.size("items") > 0)
+
+
+def sanitization_findings(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings of the audit together with the loose signs, one row per (doc_id, id)."""
+    both = findings.select("doc_id", "id", "items").unionByName(active_evidence(pages))
+    return both.groupBy("doc_id", "id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def residual_findings(findings: DataFrame, options: dict[str, bool]) -> DataFrame:
     """Findings outside the promised set, ``clean`` excepted."""
     promised = [f for o, (_, fs) in model.SANITIZE_SWITCHES.items() if options[o] for f in fs]

@@ -26,7 +26,7 @@ def lit(text: str) -> str:
 
 def attr(tag: str, names: str) -> str:
     p = lit(P.attribute(names))
-    return f"concat(regexp_extract({tag}, {p}, 2), regexp_extract({tag}, {p}, 3))"
+    return f"concat(regexp_extract({tag}, {p}, 2), regexp_extract({tag}, {p}, 3), regexp_extract({tag}, {p}, 4))"
 
 
 def squeeze(x: str) -> str:
@@ -82,7 +82,7 @@ def _all(pattern: str, group: int = 0) -> str:
 def _attr_rows(surface: str, names: str) -> str:
     p = lit(P.attribute(names))
     return _each(surface, "1", _all(P.attribute(names)), f"lower(regexp_extract(m, {p}, 1))",
-                 f"concat(regexp_extract(m, {p}, 2), regexp_extract(m, {p}, 3))")
+                 f"concat(regexp_extract(m, {p}, 2), regexp_extract(m, {p}, 3), regexp_extract(m, {p}, 4))")
 
 
 _DOWNLOAD = P.attribute("download")

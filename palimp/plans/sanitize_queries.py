@@ -46,11 +46,11 @@ def sanitize_documents(spark, sf_dir):
 
 @query("sanitize_proof", f"""select page_id as doc_id, cast(8 as bigint) as checks, cast(0 as bigint) as failed from pages where html is not null""")
 def sanitize_proof(spark, sf_dir):
-    """Promises checked on the written output with every switch on."""
+    """Promises checked on the written output with every switch on, by the audit and by signs that removal does not use."""
     pages = table(spark, sf_dir, "pages")
     clean = sanitize.sanitize_documents(pages, EVERYTHING).select(F.col("doc_id").alias("page_id"), "html")
     written = verify.stage(clean.join(pages.select("page_id", "url"), "page_id"), "sanitized")
-    findings = audit.explode_findings(audit.audit_pages(written))
+    findings = verify.sanitization_findings(written, audit.explode_findings(audit.audit_pages(written)))
     checks = verify.promise_checks(page_ids(spark, sf_dir), findings, EVERYTHING)
     return checks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("passed")).alias("failed"))
 

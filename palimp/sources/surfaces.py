@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimp.functions import patterns as P
-from palimp.functions.text import attr_value, find_all, first_match, squeeze
+from palimp.functions.text import attr_value, find_all, first_match, matched_value, squeeze
 from palimp.session import per_session
 
 
@@ -62,7 +62,7 @@ def _attr_rows(surface: str, page: int | None, html: Column, names: str) -> Colu
     return _rows(
         surface, page, find_all(html, pattern),
         lambda m: F.lower(first_match(m, pattern, 1)),
-        lambda m: F.concat(first_match(m, pattern, 2), first_match(m, pattern, 3)),
+        lambda m: matched_value(m, pattern),
     )
 
 
@@ -87,8 +87,7 @@ def embedded_names(html: Column) -> Column:
     return F.concat(
         F.transform(find_all(html, P.EMBED), lambda m: pair("embed", attr_value(m, "src"))),
         F.transform(find_all(html, P.OBJECT), lambda m: pair("object", attr_value(m, "data"))),
-        F.transform(find_all(html, download), lambda m: pair(
-            "download", F.concat(first_match(m, download, 2), first_match(m, download, 3)))),
+        F.transform(find_all(html, download), lambda m: pair("download", matched_value(m, download))),
         F.transform(find_all(html, P.DATA_URI, 1), lambda m: pair("data", m)),
     )
 

@@ -87,12 +87,12 @@ def brute(texts, wanted, surface):
     return found
 
 
-@pytest.mark.parametrize("few,bound", [(100, 1000), (0, 1000), (0, 1)])
-def test_term_hits_match_brute_force(spark, few, bound):
+@pytest.mark.parametrize("few,bound,hot", [(100, 1000, 1000), (0, 1000, 1000), (0, 1, 1000), (0, 1, 1)])
+def test_term_hits_match_brute_force(spark, few, bound, hot):
     wanted = spark.createDataFrame([(t,) for t in TERMS], "term string")
     data = [(i, s, t) for s in ("page_text", "raw_content", "links") for i, t in enumerate(TEXTS)]
     rows = spark.createDataFrame(data, "doc_id bigint, surface string, value string")
-    got = [(r.doc_id, r.surface, r.term) for r in terms.term_hits(rows, ["doc_id"], wanted, few=few, bound=bound).collect()]
+    got = [(r.doc_id, r.surface, r.term) for r in terms.term_hits(rows, ["doc_id"], wanted, few=few, bound=bound, hot=hot).collect()]
     expected = set().union(*[brute(TEXTS, TERMS, s) for s in ("page_text", "raw_content", "links")])
     assert len(got) == len(set(got))
     assert set(got) == expected
