@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,25 +46,34 @@ def redact_terms(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool =
     return staged.select("doc_id", "page_no", text.alias("text"), count.alias("hits"))
 
 
-def _redact_many(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool, in_scope: Column, **kw) -> DataFrame:
-    """Removal by an automaton: of all terms where they can be broadcast, else of the terms that the join found on the page."""
-    bounds = {k: v for k, v in kw.items() if k == "bound"}
-    shared = broadcast_terms(terms, case_sensitive, **bounds)
-    rows = doc_pages.select("doc_id", "page_no", "text", F.coalesce(in_scope, F.lit(False)).alias("scope"))
+def _with_matcher(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool, in_scope: Column, **kw):
+    """Pages with their scope, and a function to the matcher of a batch's rows: one of all terms where they can be broadcast,
+    else each page's own, of the terms that the join found on it."""
+    shared = broadcast_terms(terms, case_sensitive, **{k: v for k, v in kw.items() if k == "bound"})
+    rows = doc_pages.withColumn("scope", F.coalesce(in_scope, F.lit(False)))
     if shared is None:
         hits = page_hits(doc_pages.where(in_scope), terms, case_sensitive=case_sensitive, **kw)
         # A page's own distinct terms: bounded by the length of that page.
         per_page = hits.groupBy("doc_id", "page_no").agg(F.collect_list("term").alias("found"))
         rows = rows.join(per_page, ["doc_id", "page_no"], "left")
+
+    def matchers(batch: pa.RecordBatch) -> list[Matcher]:
+        if shared is not None:
+            return [matcher_of(shared.value)] * batch.num_rows
+        return [Matcher(found or [], case_sensitive) for found in batch.column("found").to_pylist()]
+
+    return rows, matchers
+
+
+def _redact_many(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool, in_scope: Column, **kw) -> DataFrame:
+    """Removal by an automaton."""
+    rows, matchers = _with_matcher(doc_pages.select("doc_id", "page_no", "text"), terms, case_sensitive, in_scope, **kw)
     mark = model.REDACTION_MARK
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everything = matcher_of(shared.value) if shared else None
         for batch in batches:
-            own = batch.column("found").to_pylist() if shared is None else [None] * batch.num_rows
             texts, counts = [], []
-            for text, scope, found in zip(batch.column("text").to_pylist(), batch.column("scope").to_pylist(), own):
-                matcher = everything or Matcher(found or [], case_sensitive)
+            for text, scope, matcher in zip(batch.column("text").to_pylist(), batch.column("scope").to_pylist(), matchers(batch)):
                 spans, n = matcher.chosen(text, "page_text") if text and scope else ([], 0)
                 texts.append(without(text, spans, mark) if spans else text)
                 counts.append(n)
@@ -74,6 +84,61 @@ def _redact_many(doc_pages: DataFrame, terms: DataFrame, case_sensitive: bool, i
     return rows.mapInArrow(cut, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, text string, hits bigint")
 
 
+MOVED = "array<struct<s: bigint, e: bigint, new_s: bigint, new_e: bigint>>"
+
+
+def blank_and_cut(text: str, regions: list[tuple[int, int]], matcher: Matcher, mark: str) -> tuple[str, int, list[dict[str, int]]]:
+    """The text with its regions blank and then its terms cut; the occurrences cut; and where each region lies in the result.
+
+    A region keeps its length, also where a term runs over it.
+    """
+    blank = np.zeros(len(text) + 1, dtype=bool)
+    for start, end in regions:
+        blank[start:end] = True
+    chars = [" " if b else c for c, b in zip(text, blank)]
+    spans, n = matcher.chosen("".join(chars), "page_text")
+    for start, end in spans:
+        outside = [i for i in range(start, end) if not blank[i]]
+        for i in outside:
+            chars[i] = ""
+        if outside:
+            chars[outside[0]] = mark
+    place = np.concatenate([[0], np.cumsum([len(c) for c in chars], dtype=np.int64)])
+    moved = [{"s": s, "e": e, "new_s": int(place[s]), "new_e": int(place[e])} for s, e in regions]
+    return "".join(chars), n, moved
+
+
+def redact_terms_and_regions(doc_pages: DataFrame, terms: DataFrame, regions: DataFrame, case_sensitive: bool = False, **kw) -> DataFrame:
+    """(doc_id, page_no, text, hits, moved): regions(doc_id, page_no, s, e) blanked, terms cut from what is left, and where each
+    valid region of the page lies in the written text. Invalid or empty regions are skipped here; their check fails."""
+    grouped = regions.where("s is not null and e is not null").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    joined = doc_pages.select("doc_id", "page_no", "text").join(grouped, ["doc_id", "page_no"], "left")
+    length = F.length("text")
+    joined = joined.withColumn("spans", F.filter(F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")), lambda r: valid_region(r["s"], r["e"], length)))
+    rows, matchers = _with_matcher(joined, terms, case_sensitive, F.lit(True), **kw)
+    mark = model.REDACTION_MARK
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for text, spans, matcher in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), matchers(batch)):
+                done.append((text, 0, []) if text is None else blank_and_cut(text, [(r["s"], r["e"]) for r in spans], matcher, mark))
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "new_s", "new_e")]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("page_no"), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()),
+                 pa.array([d[2] for d in done], kind)], ["doc_id", "page_no", "text", "hits", "moved"])
+
+    kinds = dict(doc_pages.dtypes)
+    return rows.mapInArrow(cut, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, text string, hits bigint, moved {MOVED}")
+
+
+def moved_regions(regions: DataFrame, redacted: DataFrame) -> DataFrame:
+    """Regions as they lie in the written pages; those that were skipped keep their numbers."""
+    moved = redacted.select("doc_id", "page_no", F.inline("moved"))
+    return regions.join(moved, ["doc_id", "page_no", "s", "e"], "left").select(
+        "doc_id", "page_no", F.coalesce("new_s", "s").alias("s"), F.coalesce("new_e", "e").alias("e"))
+
+
 def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     """The text with a mark for each of the sorted spans."""
     pieces, at = [], 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions.text import squeeze
-from palimp.operators.redact import page_hits, redact_terms, suppress_pages
+from palimp.operators.redact import moved_regions, page_hits, redact_terms, redact_terms_and_regions, suppress_pages
 from palimp.operators.terms import term_hits
 from palimp.session import scratch_path
 
@@ -65,14 +65,24 @@ def region_checks(regions: DataFrame, doc_pages: DataFrame, page_counts: DataFra
     found = squeeze(F.substring("text", (s + 1).cast("int"), (e - s).cast("int")))
     status = (F.when(F.col("page_no").isNull() | s.isNull() | e.isNull(), "malformed")
               .when(F.col("n_pages").isNull() | (F.col("page_no") < 1) | (F.col("page_no") > F.col("n_pages")), "out_of_range")
+              .when((s < 0) | (e > F.coalesce(F.length("text"), e)) | (s >= e), "invalid")
               .when(F.col("text").isNull(), "unreadable")
-              .when((s < 0) | (e > F.length("text")) | (s >= e), "invalid")
               .when(found != "", "text_found").otherwise("clean"))
     return j.select("doc_id", "page_no", "s", "e", status.alias("status")
                     , F.when(status == "text_found", F.substring(found, 1, 60)).otherwise("").alias("preview")
                     , (status == "clean").alias("passed"))
 
 
+def region_results(checked: DataFrame) -> DataFrame:
+    """Rows of :func:`region_checks` as one ``redaction.region`` check per document that has a region."""
+    failed = ~F.col("passed")
+    line = F.concat_ws(" ", F.lit("region"), F.coalesce(F.col("s").cast("string"), F.lit("?")), F.lit("to"), F.coalesce(F.col("e").cast("string"), F.lit("?")), F.lit("is"), "status")
+    return checked.groupBy("doc_id").agg(
+        F.bool_and("passed").alias("passed"), F.sort_array(F.collect_set(F.when(failed, line))).alias("evidence"),
+        F.sort_array(F.collect_set(F.when(failed, F.col("page_no")))).alias("pages"), F.bool_or(failed & F.col("page_no").isNull()).alias("is_document_level"),
+    ).select("doc_id", F.lit("redaction.region").alias("check_id"), "passed", "evidence", "pages", "is_document_level")
+
+
 def dual_reader_hits(surfaces: DataFrame, terms: DataFrame, **kw) -> DataFrame:
     """Hits of two independent readers of one page, the visible text and the raw content, reported once."""
     both = surfaces.where(F.col("surface").isin("page_text", "raw_content"))
@@ -111,22 +121,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def fail_closed_release(doc_pages: DataFrame, docs: DataFrame, terms: DataFrame, pages: list[int] | None = None,
-                        suppress: bool = False, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        suppress: bool = False, regions: DataFrame | None = None, fold_proof: bool = False, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Redact, write, verify the written pages, then split: (released pages, quarantined pages, report).
 
-    With ``suppress`` the pages that failed lose their whole text and are verified once more.
+    With ``fold_proof`` the proof is case-insensitive even where the removal was told to keep to the case.
+
+    With ``suppress`` the pages that failed lose their whole text and are verified once more. With ``regions`` these are blanked
+    as well, and where they lie in the written pages must hold no text; the region checks count like those of the terms.
     """
-    staged = stage(redact_terms(doc_pages, terms, pages=pages, **kw), "staged")
+    proof = {k: v for k, v in kw.items() if k != "case_sensitive" or not fold_proof}
+    if regions is None:
+        staged = stage(redact_terms(doc_pages, terms, pages=pages, **kw), "staged")
+        results = verify_pages(staged, docs, terms, **proof)
+    else:
+        staged = stage(redact_terms_and_regions(doc_pages, terms, regions, **kw), "staged")
+        n_pages = staged.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
+        checked = region_checks(moved_regions(regions, staged), staged.select("doc_id", "page_no", "text"), n_pages)
+        results = verify_pages(staged, docs, terms, **proof).unionByName(region_results(checked))
     hits = staged.groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    results = verify_pages(staged, docs, terms, **kw)
     if suppress:
         targets = suppression_targets(results).select("doc_id", F.explode("pages").alias("page_no"))
         cleared = suppress_pages(staged.select("doc_id", "page_no", "text"), targets)
         staged = stage(cleared, "suppressed")
-        results = verify_pages(staged, docs, terms, **kw)
-    report = verified_docs(docs, results).join(hits, "doc_id", "left").select(
+        results = verify_pages(staged, docs, terms, **proof)
+    failed = results.where(~F.col("passed")).groupBy("doc_id").agg(F.sort_array(F.collect_set("check_id")).alias("failed"))
+    report = verified_docs(docs, results).join(hits, "doc_id", "left").join(failed, "doc_id", "left").select(
         "doc_id", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), "verified",
-        F.when(~F.col("verified"), "quarantined").when(F.coalesce("hits", F.lit(0)) == 0, "no_match").otherwise("released").alias("status"))
+        F.when(~F.col("verified"), "quarantined").when(F.coalesce("hits", F.lit(0)) == 0, "no_match").otherwise("released").alias("status"),
+        F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))
     report = stage(report, "report")
     text = staged.select("doc_id", "page_no", "text")
     released = text.join(report.where("status = 'released'"), "doc_id", "left_semi")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions import patterns as P
 from palimp.functions.text import find_all
-from palimp.operators import audit, redact, verify
+from palimp.operators import audit, redact, verify, web
 from palimp.operators.terms import term_hits
-from palimp.plans.base import DOC_PAGES, FINDINGS, ORACLES, SURFACES, query
+from palimp.plans.base import DOC_PAGES, FINDINGS, ORACLES, SURFACES, lit, query
 from palimp.plans.page_queries import doc_pages, docs, sized
 from palimp.sources.surfaces import surfaces_from_html
 from palimp.sources.tables import table
@@ -69,12 +67,11 @@ def raw_content_match(spark, sf_dir, **kw):
 _ESC = "concat('(?i)', regexp_replace(term, '([.+*?^$|(){}\\[\\]\\\\])', '\\\\\\1', 'g'))"
 # Counted on the original, replaced longest first.
 _REDACTED = f"""{_PAGE_HITS}, todo as (select doc_id, page_no, list({_ESC} order by length(term) desc, term) as ps from page_hits group by doc_id, page_no),
- redacted as (select p.doc_id, p.page_no, p.text as original, case when ps is null or not SCOPE then p.text else list_reduce(ps, lambda acc, x: regexp_replace(acc, x, '█', 'g'), p.text) end as text,
-  case when ps is null or not SCOPE then 0 else list_sum(list_transform(ps, lambda x: len(regexp_extract_all(p.text, x)))) end as hits from doc_pages p left join todo t on p.doc_id = t.doc_id and p.page_no = t.page_no)"""
-_ALL_PAGES = _REDACTED.replace("SCOPE", "true")
-_FIRST_PAGE = _REDACTED.replace("SCOPE", "p.page_no = 1")
-# Terms still found on the pages that were not redacted.
-_LEFT = f"{_FIRST_PAGE}, still as (select doc_id, page_no, term from redacted join terms on contains(lower({_SQ}), lower(term)))"
+ redacted as (select p.doc_id, p.page_no, p.text as original, case when ps is null then p.text else list_reduce(ps, lambda acc, x: regexp_replace(acc, x, '█', 'g'), p.text) end as text,
+  case when ps is null then 0 else list_sum(list_transform(ps, lambda x: len(regexp_extract_all(p.text, x)))) end as hits from doc_pages p left join todo t on p.doc_id = t.doc_id and p.page_no = t.page_no)"""
+_ALL_PAGES = _REDACTED
+# Terms still found on the written pages.
+_LEFT = f"{_ALL_PAGES}, still as (select doc_id, page_no, term from redacted join terms on contains(lower({_SQ}), lower(term)))"
 _CHECKS = f"""{_LEFT}, checks as (select d.doc_id, 'redaction.page_text' as check_id, count(s.term) = 0 as passed,
   string_agg(concat('''', term, ''' in text on page ', page_no), ' | ' order by concat('''', term, ''' in text on page ', page_no)) filter (term is not null) as evidence, list_sort(list(distinct page_no) filter (page_no is not null)) as pages from documents d left join still s on d.doc_id = s.doc_id group by d.doc_id)"""
 
@@ -163,18 +160,20 @@ def span_overlap(spark, sf_dir):
 
 # --- proof ----------------------------------------------------------------------------------------
 
-FIRST_PAGE = [1]
+# Removal that keeps to the case of the terms, so that the proof, which does not, finds what it left.
+_CASED_LEFT = _LEFT.replace("concat('(?i)', ", "concat('', ")
+_CASED = _CHECKS.replace(_LEFT, _CASED_LEFT)
 
 
-def _staged(spark, sf_dir, pages):
-    """Documents as written after redaction; where only their first page was redacted, later pages still leak."""
+def _staged(spark, sf_dir, pages, case_sensitive=False):
+    """Documents as written after redaction; where only some pages are redacted, the others still leak."""
     t = terms(spark, sf_dir)
-    staged = verify.stage(redact.redact_terms(doc_pages(spark, sf_dir), t, pages=pages), "redacted")
+    staged = verify.stage(redact.redact_terms(doc_pages(spark, sf_dir), t, case_sensitive, pages), "redacted")
     return staged, t
 
 
-def _results(spark, sf_dir, pages):
-    staged, t = _staged(spark, sf_dir, pages)
+def _results(spark, sf_dir, pages, case_sensitive=False):
+    staged, t = _staged(spark, sf_dir, pages, case_sensitive)
     return verify.verify_pages(staged, doc_ids(spark, sf_dir), t)
 
 
@@ -183,7 +182,7 @@ def _flat(df):
 
 
 @query("verify_redaction", f"with {_CHECKS} select doc_id, check_id, passed, coalesce(evidence, '') as evidence, coalesce(array_to_string(pages, ','), '') as pages from checks")
-def verify_redaction(spark, sf_dir, pages=FIRST_PAGE):
+def verify_redaction(spark, sf_dir, pages=None):
     return _flat(_results(spark, sf_dir, pages)).select("doc_id", "check_id", "passed", "evidence", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
@@ -199,21 +198,21 @@ def check_evidence(spark, sf_dir):
 
 
 @query("verified_docs", f"with {_CHECKS} select doc_id, count(*) as checks_run, bool_and(passed) as verified from checks group by doc_id")
-def verified_docs(spark, sf_dir, pages=FIRST_PAGE):
+def verified_docs(spark, sf_dir, pages=None):
     return verify.verified_docs(doc_ids(spark, sf_dir), _results(spark, sf_dir, pages))
 
 
-@query("failed_pages", f"with {_CHECKS} select doc_id, check_id, array_to_string(pages, ',') as pages from checks where not passed")
-def failed_pages(spark, sf_dir, pages=FIRST_PAGE):
-    r = _results(spark, sf_dir, pages).where("not passed")
+@query("failed_pages", f"with {_CASED} select doc_id, check_id, array_to_string(pages, ',') as pages from checks where not passed")
+def failed_pages(spark, sf_dir, pages=None):
+    r = _results(spark, sf_dir, pages, case_sensitive=True).where("not passed")
     return r.select("doc_id", "check_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query("suppression_targets", f"""with {_CHECKS}, {SURFACES}, web as (select distinct doc_id, page_no from surfaces join terms on case when surface = 'raw_content' then contains(translate(value, {_ALPHA}), translate(term, {_ALPHA})) else contains(lower(value), lower(term)) end)
+@query("suppression_targets", f"""with {_CASED}, {SURFACES}, web as (select distinct doc_id, page_no from surfaces join terms on case when surface = 'raw_content' then contains(translate(value, {_ALPHA}), translate(term, {_ALPHA})) else contains(lower(value), lower(term)) end)
  select 'documents' as corpus, doc_id, case when not passed then array_to_string(pages, ',') end as pages from checks
  union all select 'pages', page_id, case when count(w.doc_id) = 0 or bool_or(w.page_no is null) then null else string_agg(distinct page_no::varchar, ',') end from pages left join web w on page_id = w.doc_id group by page_id""")
-def suppression_targets(spark, sf_dir, pages=FIRST_PAGE):
-    staged, t = _staged(spark, sf_dir, pages)
+def suppression_targets(spark, sf_dir, pages=None):
+    staged, t = _staged(spark, sf_dir, pages, case_sensitive=True)
     plain = verify.suppression_targets(verify.verify_pages(staged, doc_ids(spark, sf_dir), t)).withColumn("corpus", F.lit("documents"))
     web = verify.suppression_targets(verify.verify_surfaces(surfaces(spark, sf_dir), page_ids(spark, sf_dir), t)).withColumn("corpus", F.lit("pages"))
     return plain.unionByName(web).select("corpus", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
@@ -241,7 +240,7 @@ _RELEASE = f"""{_LEFT}, h as (select doc_id, cast(sum(hits) as bigint) as hits f
 
 @query("fail_closed_release", f"""with {_RELEASE} select r.doc_id, r.hits, status, page_no, text from report r join redacted p on r.doc_id = p.doc_id where status <> 'no_match'
  union all select doc_id, hits, status, null, null from report where status = 'no_match'""")
-def fail_closed_release(spark, sf_dir, pages=FIRST_PAGE):
+def fail_closed_release(spark, sf_dir, pages=None):
     released, quarantined, report = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=pages)
     text = released.unionByName(quarantined)
     none = F.lit(None)
@@ -250,21 +249,94 @@ def fail_closed_release(spark, sf_dir, pages=FIRST_PAGE):
     return text.join(report.select("doc_id", "hits", "status"), "doc_id").select("doc_id", "hits", "status", "page_no", "text").unionByName(empty)
 
 
-@query("suppress_pages", f"""with {_LEFT}, h as (select doc_id, cast(sum(hits) as bigint) as hits from redacted group by doc_id), bad as (select distinct doc_id, page_no from still)
+@query("suppress_pages", f"""with {_CASED_LEFT}, h as (select doc_id, cast(sum(hits) as bigint) as hits from redacted group by doc_id), bad as (select distinct doc_id, page_no from still)
  select p.doc_id, p.page_no, case when b.doc_id is null then p.text else '' end as text, 'released' as status
  from redacted p join h on p.doc_id = h.doc_id left join bad b on p.doc_id = b.doc_id and p.page_no = b.page_no where h.hits > 0""")
-def suppress_pages(spark, sf_dir, pages=FIRST_PAGE):
-    released, _, _ = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=pages, suppress=True)
+def suppress_pages(spark, sf_dir, pages=None):
+    released, _, _ = verify.fail_closed_release(doc_pages(spark, sf_dir), doc_ids(spark, sf_dir), terms(spark, sf_dir), pages=pages, suppress=True, case_sensitive=True, fold_proof=True)
     return released.withColumn("status", F.lit("released"))
 
 
-def over_all_pages(fn):
-    """Register a query once more, over all pages of every document instead of the first, in the code and in its oracle."""
-    query(f"{fn.__name__}_all_pages", ORACLES[fn.__name__].replace("p.page_no = 1", "true"))(functools.partial(fn, pages=None))
-
-
 for _fn in (verify_redaction, verified_docs, failed_pages, suppression_targets, fail_closed_release, suppress_pages):
-    over_all_pages(_fn)
+    # Names of an earlier round for the whole job, which the plain names now do.
+    query(f"{_fn.__name__}_all_pages", ORACLES[_fn.__name__])(_fn)
+
+
+_CUT = f"""{_BLANKED}, {_TERMS}, cut_todo as (select doc_id, page_no, list({_ESC} order by length(term) desc, term) as ps from blanked join terms on contains(lower({_SQ}), lower(term)) group by doc_id, page_no),
+ cut as (select p.doc_id, p.page_no, case when ps is null then p.text else list_reduce(ps, lambda acc, x: regexp_replace(acc, x, '█', 'g'), p.text) end as text,
+  case when ps is null then 0 else list_sum(list_transform(ps, lambda x: len(regexp_extract_all(p.text, x)))) end as hits from blanked p left join cut_todo t on p.doc_id = t.doc_id and p.page_no = t.page_no)"""
+
+
+@query("release_with_regions", f"""with {_CUT}, counts as (select doc_id, max(page_no) as n from doc_pages group by doc_id),
+ bad as (select distinct r.doc_id as bad_id from regions r join counts c on r.doc_id = c.doc_id left join blanked p on r.doc_id = p.doc_id and r.page_no = p.page_no where {_REGION_CHECK} <> 'clean'),
+ still as (select distinct doc_id as still_id from cut join terms on contains(lower({_SQ}), lower(term)))
+ select doc_id, cast(sum(hits) as bigint) as hits, case when bad_id is not null or still_id is not null then 'quarantined' when sum(hits) = 0 then 'no_match' else 'released' end as status,
+  concat_ws(',', case when still_id is not null then 'redaction.page_text' end, case when bad_id is not null then 'redaction.region' end) as failed,
+  md5(string_agg(text, chr(12) order by page_no)) as text_hash from cut left join bad on bad_id = doc_id left join still on still_id = doc_id group by doc_id, bad_id, still_id""")
+def release_with_regions(spark, sf_dir):
+    """Documents with regions and terms removed; both are proved on the written pages, in one report."""
+    pages = doc_pages(spark, sf_dir)
+    released, quarantined, report = verify.fail_closed_release(pages, doc_ids(spark, sf_dir), terms(spark, sf_dir), regions=regions(spark, sf_dir))
+    kept = report.where("status = 'no_match'").select("doc_id")
+    # What has no hit is not rewritten, but its regions are.
+    blanked = redact.redact_spans(pages.join(kept, "doc_id", "left_semi"), regions(spark, sf_dir)).drop("regions")
+    text = released.unionByName(quarantined).unionByName(blanked)
+    # The pages of one document.
+    whole = text.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    hashes = whole.select("doc_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\f")).alias("text_hash"))
+    return report.join(hashes, "doc_id", "left").select("doc_id", "hits", "status", F.array_join("failed", ",").alias("failed"), "text_hash")
+
+
+# --- web pages ------------------------------------------------------------------------------------
+
+_HIT = lambda x: f"len(list_filter(ts, lambda q: contains(lower({x}), q))) > 0"
+_PARTS = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->|<title[^>]*>.*?</title[^>]*>|<h[1-6][^>]*>.*?</h[1-6]>|<[^>]*>|[^<]+|<"
+_STRIPPED = "trim(regexp_replace(t, '<[^>]*>', ' ', 'g'))"
+# Parts of a page one by one; no term of these queries holds a blank, so none runs over a tag.
+_WEB = f"""{_SURFACE_HITS}, ts as (select list(lower(term)) as ts, list({_ESC} order by length(term) desc, term) as ps from terms),
+ rows_hit as (select distinct doc_id, surface, field, seq from surface_hits where surface not in ('page_text', 'raw_content')),
+ info as (select distinct doc_id as info_id from rows_hit where surface = 'docinfo'),
+ parts as (select page_id, url, info_id is not null as info, unnest(regexp_extract_all(html, {lit(_PARTS)})) as t, generate_subscripts(regexp_extract_all(html, {lit(_PARTS)}), 1) as i
+  from pages left join info on info_id = page_id),
+ cut as (select page_id, url, info, i, case when regexp_matches(t, '(?i)^<(script|style)') then t when starts_with(t, '<!--') then case when {_HIT("t")} then '' else t end
+   when regexp_matches(t, '(?i)^<title') then case when info then regexp_replace(t, '(?is)^(<title[^>]*>).*(</title[^>]*>)$', '\\1\\2') else t end
+   when regexp_matches(t, '(?i)^<h[1-6]') then case when {_HIT(_STRIPPED)} then regexp_replace(t, '(?is)^(<h[1-6][^>]*>).*(</h[1-6]>)$', '\\1[redacted]\\2') else t end
+   when regexp_matches(t, '(?is)^<a .*href="') and {_HIT("regexp_extract(t, 'href=.([^\x22]*)', 1)")} then regexp_replace(t, ' href="[^"]*"', '')
+   when regexp_matches(t, '(?i)^<html') and info then regexp_replace(t, ' lang="[^"]*"', '') when starts_with(t, '<') and t <> '<' then t
+   else list_reduce(ps, lambda acc, x: regexp_replace(acc, x, '█', 'g'), t) end as c,
+  case when regexp_matches(t, '(?i)^<(script|style|!--)') then 0 else list_sum(list_transform(ps, lambda x: len(regexp_extract_all(regexp_replace(t, '<[^>]*>', ' ', 'g'), x)))) end as n
+  from parts cross join ts),
+ written as (select page_id, case when bool_or(info) then '' else coalesce(any_value(url), '') end as url, string_agg(c, '' order by i) as html, cast(sum(n) as bigint) as page_text from cut group by page_id),
+ removed as (select doc_id as removed_id, count(*) filter (surface = 'docinfo') as docinfo, count(*) filter (surface = 'bookmarks') as bookmarks, count(*) filter (surface = 'links') as links,
+  count(*) filter (surface in ('annotations', 'form_fields', 'embedded_files')) + max(case when surface = 'xmp' then 1 else 0 end) as others from rows_hit group by doc_id)"""
+
+
+@query("redact_web_pages", f"""with {_WEB} select page_id as doc_id, url, md5(html) as html_hash, page_text, coalesce(docinfo, 0) as docinfo, coalesce(bookmarks, 0) as bookmarks, coalesce(links, 0) as links, coalesce(others, 0) as others
+ from written left join removed on removed_id = page_id""")
+def redact_web_pages(spark, sf_dir):
+    out = web.redact_pages(table(spark, sf_dir, "pages"), terms(spark, sf_dir))
+    others = F.col("annotations") + F.col("form_fields") + F.col("embedded_files") + F.col("xmp")
+    return out.select(F.col("page_id").alias("doc_id"), "url", F.md5(F.col("html")).alias("html_hash"), "page_text", "docinfo", "bookmarks", "links", others.alias("others"))
+
+
+_WRITTEN_SURFACES = SURFACES.replace("surfaces as (", "seen as (", 1).replace("from pages", "from written")
+
+
+@query("release_web_pages", f"""with {_WEB}, {_WRITTEN_SURFACES}, left_over as (select distinct doc_id, surface from seen join terms on
+  case when surface = 'raw_content' then contains(translate(value, {_ALPHA}), translate(term, {_ALPHA})) else contains(lower(value), lower(term)) end),
+ bad as (select doc_id as bad_id, string_agg(surface, ',' order by surface) as failed from left_over group by doc_id)
+ select page_id as doc_id, cast(page_text + coalesce(docinfo + bookmarks + links + others, 0) as bigint) as hits,
+  case when failed is not null then 'quarantined' when page_text + coalesce(docinfo + bookmarks + links + others, 0) = 0 then 'no_match' else 'released' end as status, coalesce(failed, '') as failed, md5(html) as html_hash
+ from written left join removed on removed_id = page_id left join bad on bad_id = page_id""")
+def release_web_pages(spark, sf_dir):
+    """Status and failed surfaces of every page, with the written page that it is about."""
+    pages = table(spark, sf_dir, "pages")
+    released, quarantined, report, checks = web.release_pages(pages, terms(spark, sf_dir))
+    failed = checks.where("not passed").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set(F.replace("check_id", F.lit("redaction."), F.lit("")))), ",").alias("failed"))
+    html = released.unionByName(quarantined).select(F.col("page_id").alias("doc_id"), F.md5(F.col("html")).alias("html_hash"))
+    same = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.md5(F.col("html")).alias("as_it_was"))
+    rows = report.join(failed, "doc_id", "left").join(html, "doc_id", "left").join(same, "doc_id", "left")
+    return rows.select("doc_id", "hits", "status", F.coalesce("failed", F.lit("")).alias("failed"), F.coalesce("html_hash", "as_it_was").alias("html_hash"))
 
 
 _DEFAULTS = {o: d for o, (d, _) in model.SANITIZE_SWITCHES.items()}

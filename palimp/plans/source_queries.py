@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.operators import pages
-from palimp.plans.base import DOC_PAGES, FINDINGS, query
+from palimp.plans.base import DOC_PAGES, FINDINGS, ORACLES, query
 from palimp.plans.page_queries import doc_pages, docs, sized
-from palimp.plans.redact_queries import FIRST_PAGE, over_all_pages, terms, _RELEASE
+from palimp.plans.redact_queries import terms, _RELEASE
 from palimp.session import scratch_path
 from palimp.sources import payloads
 from palimp.sources.sinks import write_split
@@ -33,11 +33,6 @@ def scan_payloads(spark, sf_dir):
     return rows.select("doc_id", payloads.payload_kind(F.col("content")).alias("kind"), F.octet_length("content").cast("bigint").alias("length"))
 
 
-@query("folder_scan")
-def folder_scan(spark, sf_dir):
-    return payloads.folder_scan(spark, sf_dir, "*.parquet")
-
-
 _HEAD = r"^\p{Lu}\p{Ll}"
 
 
@@ -82,9 +77,9 @@ def stream_op_metrics(spark, sf_dir):
 
 
 @query("stream_redact_release", f"with {_RELEASE} select doc_id, hits, verified, status from report")
-def stream_redact_release(spark, sf_dir, pages=FIRST_PAGE):
+def stream_redact_release(spark, sf_dir, pages=None):
     found = terms(spark, sf_dir)
     return streams.redact_release_stream(streams.landing(spark, sf_dir, "documents"), paginate, found, pages=pages)
 
 
-over_all_pages(stream_redact_release)
+query("stream_redact_release_all_pages", ORACLES["stream_redact_release"])(stream_redact_release)
