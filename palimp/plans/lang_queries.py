@@ -122,16 +122,22 @@ def literal_spans(spark, sf_dir):
     return rows.select("id", F.col("r.s").cast("bigint").alias("s"), F.col("r.e").cast("bigint").alias("e"), lang.cut(F.col("part"), F.col("r.s"), F.col("r.e")).alias("literal"))
 
 
-@query("mask_literals")
+# Masked parts: numbers counted from the last literal, between marks. No text of the tables holds a private-use character.
+_MASKED = f"""{_LITERALS}, places as (select id, s, e, count(*) over (partition by id) - row_number() over (partition by id order by s) as number, lag(e, 1, 0) over (partition by id order by s) as before from chosen),
+ masked as (select t.id, any_value(part) as part, concat(string_agg(concat(substr(part, before + 1, s - before), chr({lang.PRIVATE[0]}), number, chr({lang.PRIVATE[0]})), '' order by s), any_value(substr(part, final + 1))) as masked,
+  string_agg(substr(part, s + 1, e - s), chr(31) order by s desc) as saved from texts t join places p on p.id = t.id join (select id, max(e) as final from chosen group by id) z on z.id = t.id group by t.id)"""
+
+
+@query("mask_literals", f"with recursive {_MASKED} select id, part, masked, saved from masked")
 def mask_literals(spark, sf_dir):
     rows = spanned(spark, sf_dir).where(F.size("spans") > 0).withColumn("m", lang.mask(F.col("part"), F.col("spans")))
-    return rows.select("doc_id", "line_no", "seq", "part", "m.masked", F.to_json("m.saved").alias("saved"))
+    return rows.select(F.concat_ws(":", "doc_id", "line_no", "seq").alias("id"), "part", "m.masked", F.array_join("m.saved", "\x1f").alias("saved"))
 
 
 @query("restore_literals", f"with {_PARTS} select doc_id, line_no, seq, part as restored from parts where part <> ''")
 def restore_literals(spark, sf_dir):
     rows = spanned(spark, sf_dir).withColumn("m", lang.mask(F.col("part"), F.col("spans")))
-    return rows.select("doc_id", "line_no", "seq", lang.restore(F.col("m.masked"), F.col("m.saved")).alias("restored"))
+    return rows.select("doc_id", "line_no", "seq", lang.restore(F.col("m.masked"), F.col("m.saved"), F.col("m.mark")).alias("restored"))
 
 
 def marking_model(texts):
@@ -146,15 +152,24 @@ def failing_model(texts):
     return marking_model(texts)
 
 
-@query("translate_lines", f"""with recursive {_LITERALS}, covered as (select t.id, string_agg(substr(part, c.s + 1, c.e - c.s), '') as lits from texts t join chosen c on c.id = t.id group by t.id),
- gaps as (select id, s, e, lag(e, 1, 0) over (partition by id order by s) as before, max(e) over (partition by id) as final from chosen),
+# What the models are asked: parts with a letter outside of their literals, in lines of another language.
+_ASKED = f"""{_MASKED}, gaps as (select id, s, e, lag(e, 1, 0) over (partition by id order by s) as before, max(e) over (partition by id) as final from chosen),
  rest as (select t.id, case when count(g.id) = 0 then any_value(part) else concat(string_agg(substr(part, before + 1, s - before), '' order by s), any_value(substr(part, final + 1))) end as residual from texts t left join gaps g on g.id = t.id group by t.id),
- told as (select p.*, case when p.lang = 'en' or part = '' or not regexp_matches(residual, '\\p{{L}}') then part else concat('[T]', part) end as out from parts p left join rest r on r.id = concat(p.doc_id, ':', p.line_no, ':', p.seq))
- select l.doc_id, l.line_no, case when l.lang = 'en' or trim(l.line) = '' then l.line else o.text end as translated from lines l join (select doc_id, line_no, string_agg(concat(out, sep), '' order by seq) as text from told group by doc_id, line_no) o on l.doc_id = o.doc_id and l.line_no = o.line_no""")
+ asked as (select p.*, coalesce(m.masked, p.part) as sent, p.lang <> 'en' and p.part <> '' and coalesce(regexp_matches(residual, '\\p{{L}}'), false) as asked
+  from parts p left join rest r on r.id = concat(p.doc_id, ':', p.line_no, ':', p.seq) left join masked m on m.id = concat(p.doc_id, ':', p.line_no, ':', p.seq))"""
+_WHOLE = "case when l.lang = 'en' or trim(l.line) = '' then l.line else o.text end as translated"
+
+
+@query("translate_lines", f"""with recursive {_ASKED}
+ select l.doc_id, l.line_no, {_WHOLE} from lines l join (select doc_id, line_no, string_agg(concat(case when asked then '[T]' else '' end, part, sep), '' order by seq) as text from asked group by doc_id, line_no) o
+ on l.doc_id = o.doc_id and l.line_no = o.line_no""")
 def translate_lines(spark, sf_dir):
     return lang.translate_lines(lines(spark, sf_dir), marking_model, "en").select("doc_id", "line_no", "translated")
 
 
-@query("translate_keep_on_error")
+@query("translate_keep_on_error", f"""with recursive {_ASKED}
+ select l.doc_id, l.line_no, {_WHOLE}, case when l.lang <> 'en' and trim(l.line) <> '' then o.error end as error from lines l join (select doc_id, line_no,
+  string_agg(concat(case when asked and length(sent) <= 200 then '[T]' else '' end, part, sep), '' order by seq) as text,
+  string_agg('text is longer than 200 characters', '; ') filter (asked and length(sent) > 200) as error from asked group by doc_id, line_no) o on l.doc_id = o.doc_id and l.line_no = o.line_no""")
 def translate_keep_on_error(spark, sf_dir):
     return lang.translate_lines(lines(spark, sf_dir), failing_model, "en").select("doc_id", "line_no", "translated", "error")

@@ -235,16 +235,58 @@ def spans_by_re(text):
 
 
 LINES = ["Call +1 (555) 123-4567 now", "mail été@example.com or www.site.org/x", "Paris, FR and New York, NY", "U.S.A. and NASA in 2024-01-05.", "ÉTAT no ABC",
-         "no literals", "", "3,5 and 12.", "a" * 50 + "@b.com"]
+         "no literals", "", "3,5 and 12.", "a" * 50 + "@b.com", "see Zqpt0qzX at 12:30", "\ue000 7 \ue0000\ue000 8", "\ue000" * 3 + "9\ue001"]
+EVERY_MARK = "".join(map(chr, range(lang.PRIVATE[0], lang.PRIVATE[1] + 1)))
 
 
 def test_literals_match_python_and_round_trip(spark):
     df = spark.createDataFrame([(t,) for t in LINES], "t string").withColumn("s", lang.literal_spans(F.col("t")))
-    out = df.withColumn("m", lang.mask(F.col("t"), F.col("s"))).withColumn("back", lang.restore(F.col("m.masked"), F.col("m.saved")))
+    out = df.withColumn("m", lang.mask(F.col("t"), F.col("s"))).withColumn("back", lang.restore(F.col("m.masked"), F.col("m.saved"), F.col("m.mark")))
     for r in out.collect():
         assert [(x.s, x.e) for x in r.s] == spans_by_re(r.t), r.t
         assert r.back == r.t
-    assert out.where(F.col("t").startswith("Call")).first().m.masked == "Call Zqpt0qzX now"
+        assert not r.s or r.m.mark not in r.t
+    assert out.where(F.col("t").startswith("Call")).first().m.masked == "Call \ue0000\ue000 now"
+
+
+def test_masking_of_texts_full_of_marks_and_of_damaged_answers(spark):
+    full = spark.createDataFrame([(EVERY_MARK + " 12 and 34",)], "t string").withColumn("m", lang.mask(F.col("t"), lang.literal_spans(F.col("t"))))
+    row = full.withColumn("back", lang.restore(F.col("m.masked"), F.col("m.saved"), F.col("m.mark"))).first()
+    assert row.back == row.t == row.m.masked and row.m.saved == []
+    answers = ["\ue0001\ue000 \ue0000\ue000", "\ue0000\ue000\ue0000\ue000", "\ue0009\ue000", "\ue000x\ue000", "x \ue0001", ""]
+    saved = F.array(F.lit("\ue0001\ue000"), F.lit("b"))
+    got = spark.createDataFrame([(a,) for a in answers], "a string").select("a", lang.restore(F.col("a"), saved, F.lit("\ue000")).alias("r"))
+    want = ["b \ue0001\ue000", "\ue0001\ue000\ue0001\ue000", "\ue0009\ue000", "\ue000x\ue000", "x \ue0001", ""]
+    assert {r.a: r.r for r in got.collect()} == dict(zip(answers, want))
+
+
+def test_models_that_break_the_contract(spark):
+    calls = []
+
+    def short(texts):
+        calls.append(len(texts))
+        if "t37" in texts:
+            return texts[1:]
+        return ["[T]" + t for t in texts]
+
+    texts = [f"t{i}" for i in range(64)]
+    got = lang.told(short, texts)
+    assert got == [("t37", "model gave 0 texts for 1") if t == "t37" else ("[T]" + t, None) for t in texts]
+    assert len(calls) == 2 * 6 + 1  # halves, not single texts
+
+    def ends(texts):
+        raise StopIteration
+
+    models = {"ends": ends, "long": lambda t: t + t, "null": lambda t: [None] * len(t), "number": lambda t: 5}
+    df = spark.createDataFrame([("de", "Hallo | Welt")], "lang string, text string")
+    for name, model_ in models.items():
+        row = lang.translate_lines(df, model_).first()
+        assert row.translated == "Hallo | Welt" and row.error, name
+
+
+def test_caller_terms_are_kept_from_the_model(spark):
+    df = spark.createDataFrame([("de", "Frau Muster kam 3 mal")], "lang string, text string")
+    assert lang.translate_lines(df, lambda ts: [t.upper() for t in ts], protect_terms=["Frau Muster"]).first().translated == "Frau Muster KAM 3 MAL"
 
 
 def test_translation(spark):

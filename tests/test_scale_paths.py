@@ -105,13 +105,16 @@ def test_redaction_is_the_same_on_every_path(spark, sf_dir, few, bound):
     assert collected(redact.redact_terms(doc_pages, wanted)) == collected(redact.redact_terms(doc_pages, wanted, few=few, bound=bound))
 
 
-def test_detection_without_broadcast(spark, sf_dir, monkeypatch):
+def test_detection_with_the_profile_in_many_parts(spark, sf_dir):
     docs = pq.docs(spark, sf_dir).select("doc_id", "lang", "text")
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ab"), (-4, "12 345"), (-5, "日本語 𝔘𝔫𝔦")], "doc_id bigint, text string"))
     profile = lang.train_profile(docs)
-    plain = lang.detect_language(docs.select("doc_id", "text"), ["doc_id"], profile)
-    expected = collected(plain)
-    monkeypatch.setattr(lang, "checked_broadcast", lambda df: df)
-    assert collected(lang.detect_language(docs.select("doc_id", "text"), ["doc_id"], profile)) == expected
+    plain = lang.detect_language(texts, ["doc_id"], profile)
+    assert collected(plain) == collected(lang.detect_language(texts, ["doc_id"], profile, most_bytes=20_000))
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange hashpartitioning" not in plan
+    got = {r.doc_id: r.lang for r in plain.collect()}
+    assert [got[i] for i in (-1, -2, -3, -4)] == [None] * 4 and got[-5] is not None
 
 
 def test_page_groups_round_trip(spark, sf_dir):
