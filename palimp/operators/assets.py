@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimp import model
 from palimp.operators.dedup import distinct_objects
 
-PAYLOAD = ["pixel_w", "pixel_h", "codec", "bits", "is_gray", "display_w_pts", "display_h_pts", "raw_size", "n_colors", "variance"]
+PAYLOAD = ["pixel_w", "pixel_h", "codec", "bits", "is_gray", "display_w_pts", "display_h_pts", "raw_size", "n_colors", "variance", "has_mask"]
 
 # Quality estimate by bytes per sample, and size ratio by target quality.
 QUALITY_LADDER = [(0.40, 97), (0.25, 92), (0.12, 85), (0.06, 72), (0.03, 55), (0.015, 40)]
@@ -113,17 +113,24 @@ def _estimated(preset: tuple) -> Column:
     return F.when(skip_reason(preset).isNotNull(), F.col("raw_size")).otherwise(F.least(size, F.col("raw_size")))
 
 
+def with_file_size(docs: DataFrame, asset_bytes: str) -> DataFrame:
+    """docs(doc_id, file_size), or docs(doc_id, overhead) whose files hold their assets' bytes besides; then these need no second pass."""
+    if "file_size" in docs.columns:
+        return docs
+    return docs.withColumn("file_size", (F.col(asset_bytes) + F.col("overhead")).cast("bigint")).drop("overhead")
+
+
 def preset_whatif(features: DataFrame, docs: DataFrame) -> DataFrame:
     """Estimated output, saved bytes and saved percent per document and preset.
 
-    docs(doc_id, file_size); oversized images count towards the bytes but are not estimated.
+    docs as for :func:`with_file_size`; oversized images count towards the bytes but are not estimated.
     """
     usable = ~F.col("too_large")
     sums = features.groupBy("doc_id").agg(
         F.count_if(usable).alias("images"), F.sum("raw_size").alias("bytes"),
         *[F.sum(F.when(usable, _estimated(p))).alias(p[0]) for p in model.PRESETS])
     keys = [p[0] for p in model.PRESETS]
-    joined = docs.join(sums, "doc_id", "left").fillna(0, ["images", "bytes", *keys])
+    joined = with_file_size(docs.join(sums, "doc_id", "left").fillna(0, ["images", "bytes", *keys]), "bytes")
     long = joined.unpivot(["doc_id", "file_size", "images", "bytes"], keys, "preset", "est_images")
     size = F.col("file_size")
     other = F.floor((size - F.col("bytes")) * F.lit(OTHER_SHARE))
@@ -147,7 +154,7 @@ def asset_summary(features: DataFrame, docs: DataFrame) -> DataFrame:
         F.count_if(usable & F.col("is_gray")).alias("gray"), F.count_if(usable & F.col("is_mono")).alias("mono"))
     mean = F.expr("(2 * _milli + _known) div (2 * _known)") / 1000.0
     agg = agg.withColumn("avg_dpi", F.when(F.col("_known") > 0, mean)).drop("_milli", "_known")
-    j = docs.join(agg, "doc_id", "left").fillna(0)
+    j = with_file_size(docs.join(agg, "doc_id", "left").fillna(0), "bytes")
     return j.withColumn("pct_of_file", F.when(F.col("file_size") > 0, F.round(F.col("bytes") / F.col("file_size") * 100, 1)).otherwise(0.0))
 
 
@@ -158,11 +165,10 @@ def outcome_stats(features: DataFrame) -> DataFrame:
         skip = skip_reason(preset)
         done = open_ & skip.isNull()
         route = encode_route()
-        mask = F.col("has_mask") if "has_mask" in features.columns else F.lit(False)
         named = {
             "images_total": F.lit(True), "recompressed": done, "downscaled": done & (scale(preset) < 0.95),
             "skipped_tiny": open_ & (skip == "tiny"), "skipped_quality": open_ & (skip == "quality"),
-            "skipped_bomb": F.col("too_large"), "mask_composited": done & mask,
+            "skipped_bomb": F.col("too_large"), "mask_composited": done & F.col("has_mask"),
             "kept_lossless": done & (route == "lossless"), "converted_bw": done & (route == "bw"),
         }
         return F.struct(F.lit(preset[0]).alias("preset"), *[F.count_if(c).alias(n) for n, c in named.items()])
@@ -170,11 +176,11 @@ def outcome_stats(features: DataFrame) -> DataFrame:
 
 
 def inventory_totals(distinct: DataFrame, docs: DataFrame, fonts: DataFrame) -> DataFrame:
-    """Page, asset and byte totals; docs(doc_id, file_size), fonts(doc_id, font_id, bytes) distinct per document."""
+    """Page, asset and byte totals; docs as for :func:`with_file_size`, fonts(doc_id, font_id, bytes) distinct per document."""
     a = distinct.groupBy("doc_id").agg(
         F.max("page_no").alias("pages"), F.count(F.lit(1)).alias("assets"), F.sum("raw_size").cast("bigint").alias("asset_bytes"))
     f = fonts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fonts"), F.sum("bytes").cast("bigint").alias("font_bytes"))
-    return docs.join(a, "doc_id", "left").join(f, "doc_id", "left").fillna(0).withColumn(
+    return with_file_size(docs.join(a, "doc_id", "left").join(f, "doc_id", "left").fillna(0), "asset_bytes").withColumn(
         "other_bytes", F.col("file_size") - F.col("asset_bytes"))
 
 

@@ -13,7 +13,7 @@ from palimp.plans.base import ORACLES, query
 from palimp.sources import tables
 
 _ASSETS = f"assets as ({tables.ASSETS_SQL.format(lineitem='lineitem')})"
-_ORDER = "page_no, pixel_w, pixel_h, codec, bits, is_gray, display_w_pts, display_h_pts, raw_size, n_colors, variance"
+_ORDER = "page_no, pixel_w, pixel_h, codec, bits, is_gray, display_w_pts, display_h_pts, raw_size, n_colors, variance, has_mask"
 _FEATURES = f"""{_ASSETS}, distinct_assets as (select * exclude (rn) from (select *, row_number() over (partition by doc_id, obj_id order by {_ORDER}) as rn from assets) where rn = 1),
  dpis as (select *, pixel_w * pixel_h as pixels, codec = 'DCTDecode' as is_jpeg, bits = 1 as is_mono,
   greatest(case when display_w_pts > 0.1 then pixel_w / (display_w_pts / 72.0::double) else 0.0::double end, case when display_h_pts > 0.1 then pixel_h / (display_h_pts / 72.0::double) else 0.0::double end) as dpi,
@@ -30,7 +30,6 @@ _PLANNED = f"""{_FEATURES}, {_PRESETS}, targets as (select f.*, p.*, case when i
   case when is_mono then 'bw' when is_jpeg then 'photo' when (n_colors < 256 and pixels > 4096) or variance < case when is_gray then 50 else 100 end then 'lossless' else 'photo' end as route from targets)"""
 _DOCS = """docs as (select o_orderkey as doc_id, coalesce(b.bytes, 0) + 10000 + o_orderkey % 1000 as file_size from orders left join
  (select doc_id, cast(sum(raw_size) as bigint) as bytes from distinct_assets group by doc_id) b on o_orderkey = b.doc_id)"""
-STANDARD = next(p for p in model.PRESETS if p[0] == "standard")
 
 
 def features(spark, sf_dir):
@@ -38,18 +37,13 @@ def features(spark, sf_dir):
 
 
 def docs(spark, sf_dir):
-    return tables.asset_docs(spark, sf_dir, ops.distinct_assets(tables.assets(spark, sf_dir))).select("doc_id", "file_size")
+    return tables.asset_docs(spark, sf_dir)
 
 
 @query("asset_extract_plan", f"""with {_ASSETS} select doc_id, page_no, obj_id, case codec when 'DCTDecode' then 'jpg' when 'JPXDecode' then 'jp2' else 'png' end as ext,
- case when codec = 'FlateDecode' then 'decode' else 'raw' end as route, case when codec = 'FlateDecode' then case when is_gray then 'L' else 'RGB' end end as mode from assets where pixel_w * pixel_h >= 10000""")
+ case when codec = 'FlateDecode' then 'decode' else 'raw' end as route, case when codec = 'FlateDecode' then case when is_gray then 'L' else 'RGB' end end as mode from assets""")
 def asset_extract_plan(spark, sf_dir):
-    return ops.extract_plan(tables.assets(spark, sf_dir), "png", 10_000).select("doc_id", "page_no", "obj_id", "ext", "route", "mode")
-
-
-@query("asset_extract_plan_all_sizes", ORACLES["asset_extract_plan"].replace(" where pixel_w * pixel_h >= 10000", ""))
-def asset_extract_plan_all_sizes(spark, sf_dir):
-    """Every image, as the reference does by default."""
+    """Every image; a least size is a parameter."""
     return ops.extract_plan(tables.assets(spark, sf_dir)).select("doc_id", "page_no", "obj_id", "ext", "route", "mode")
 
 
@@ -58,16 +52,8 @@ def asset_features(spark, sf_dir):
     return features(spark, sf_dir).select("doc_id", "obj_id", "page_no", "raw_size", F.round("dpi", 6).alias("dpi"), "est_quality", "is_mono", "too_large")
 
 
-@query("asset_skip_reason", f"with {_PLANNED} select preset, coalesce(skip, 'process') as outcome, count(*) as n, cast(sum(raw_size) as bigint) as bytes from skips where not too_large group by 1, 2")
+@query("asset_skip_reason", f"with {_PLANNED} select preset, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome, count(*) as n, cast(sum(raw_size) as bigint) as bytes from skips group by 1, 2")
 def asset_skip_reason(spark, sf_dir):
-    f = features(spark, sf_dir).where("not too_large")
-    reasons = F.array(*[F.struct(F.lit(p[0]).alias("preset"), F.coalesce(ops.skip_reason(p), F.lit("process")).alias("outcome")) for p in model.PRESETS])
-    return f.select("raw_size", F.explode(reasons).alias("r")).groupBy("r.preset", "r.outcome").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("raw_size").cast("bigint").alias("bytes"))
-
-
-@query("asset_skip_reason_all_sizes", f"with {_PLANNED} select preset, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome, count(*) as n, cast(sum(raw_size) as bigint) as bytes from skips group by 1, 2")
-def asset_skip_reason_all_sizes(spark, sf_dir):
     """Every image; oversized ones have an outcome of their own."""
     outcome = lambda p: F.when(F.col("too_large"), "skipped_bomb").otherwise(F.coalesce(ops.skip_reason(p), F.lit("process")))
     reasons = F.array(*[F.struct(F.lit(p[0]).alias("preset"), outcome(p).alias("outcome")) for p in model.PRESETS])
@@ -75,21 +61,14 @@ def asset_skip_reason_all_sizes(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("raw_size").cast("bigint").alias("bytes"))
 
 
-@query("asset_encode_route", f"""with {_PLANNED} select doc_id, obj_id, route, scale < 0.95::double as downscaled,
- cast(case when scale < 0.95::double then greatest(1, floor(pixel_w * scale)) else pixel_w end as bigint) as new_w, cast(case when scale < 0.95::double then greatest(1, floor(pixel_h * scale)) else pixel_h end as bigint) as new_h
- from skips where preset = 'standard' and not too_large and skip is null""")
-def asset_encode_route(spark, sf_dir):
-    return ops.encode_plan(features(spark, sf_dir), STANDARD).select("doc_id", "obj_id", "route", "downscaled", "new_w", "new_h")
-
-
 _ROUTED = "not too_large and skip is null"
 
 
-@query("asset_encode_route_all_presets", f"""with {_PLANNED} select preset, doc_id, obj_id, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome,
+@query("asset_encode_route", f"""with {_PLANNED} select preset, doc_id, obj_id, case when too_large then 'skipped_bomb' else coalesce(skip, 'process') end as outcome,
  case when {_ROUTED} then route end as route, case when {_ROUTED} then scale < 0.95::double end as downscaled,
  cast(case when {_ROUTED} then case when scale < 0.95::double then greatest(1, floor(pixel_w * scale)) else pixel_w end end as bigint) as new_w,
  cast(case when {_ROUTED} then case when scale < 0.95::double then greatest(1, floor(pixel_h * scale)) else pixel_h end end as bigint) as new_h from skips""")
-def asset_encode_route_all_presets(spark, sf_dir):
+def asset_encode_route(spark, sf_dir):
     """A row per image and preset; images that are skipped say why and have no route."""
     def plan(p):
         s, done = ops.scale(p), ~F.col("too_large") & ops.skip_reason(p).isNull()
@@ -102,6 +81,11 @@ def asset_encode_route_all_presets(spark, sf_dir):
     return plans.select("r.preset", "doc_id", "obj_id", "r.outcome", "r.route", "r.downscaled", "r.new_w", "r.new_h")
 
 
+for _old, _fn in (("asset_extract_plan_all_sizes", asset_extract_plan), ("asset_skip_reason_all_sizes", asset_skip_reason), ("asset_encode_route_all_presets", asset_encode_route)):
+    # Names of an earlier round for the whole job, which the plain names now do.
+    query(_old, ORACLES[_fn.__name__])(_fn)
+
+
 _K = "case when jpeg_q >= 90 then 0.35::double when jpeg_q >= 75 then 0.18::double when jpeg_q >= 60 then 0.10::double when jpeg_q >= 40 then 0.06::double else 0.04::double end"
 
 
@@ -126,7 +110,7 @@ def asset_summary(spark, sf_dir):
 
 
 @query("asset_outcome_stats", f"""with {_PLANNED} select preset, count(*) as images_total, count(*) filter (not too_large and skip is null) as recompressed, count(*) filter (not too_large and skip is null and scale < 0.95::double) as downscaled,
- count(*) filter (not too_large and skip = 'tiny') as skipped_tiny, count(*) filter (not too_large and skip = 'quality') as skipped_quality, count(*) filter (too_large) as skipped_bomb, cast(0 as bigint) as mask_composited,
+ count(*) filter (not too_large and skip = 'tiny') as skipped_tiny, count(*) filter (not too_large and skip = 'quality') as skipped_quality, count(*) filter (too_large) as skipped_bomb, count(*) filter (not too_large and skip is null and has_mask) as mask_composited,
  count(*) filter (not too_large and skip is null and route = 'lossless') as kept_lossless, count(*) filter (not too_large and skip is null and route = 'bw') as converted_bw from skips group by preset""")
 def asset_outcome_stats(spark, sf_dir):
     return ops.outcome_stats(features(spark, sf_dir))
