@@ -6,17 +6,21 @@ array per page, and roll-ups over that array need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions import patterns as P
 from palimp.functions.text import attr_value, domain_of, find_all, first_match
-from palimp.session import per_session
+from palimp.session import per_session, ship_by_value
 from palimp.sources.surfaces import embedded_names, named_meta, property_meta, scripts, strip_tags
 
+ship_by_value(__name__)
+
 
 def _no_items() -> Column:
     return F.array().cast("array<string>")
@@ -152,6 +156,52 @@ def explode_findings(audited: DataFrame) -> DataFrame:
         "doc_id", F.col("pos").cast("bigint").alias("seq"), "f.*")
 
 
+#: Characters of a scanner's error that are kept.
+ERROR_CHARS = 100
+_FINDING = "struct<id: string, category: string, severity: string, title: string, count: bigint, items: array<string>>"
+
+
+def audit_with_scanners(pages: DataFrame, scanners: dict[str, Callable[[str, str], list[dict]]]) -> DataFrame:
+    """(doc_id, findings, errors): the audit together with a caller's scanners, each isolated.
+
+    A scanner takes html and url and gives findings as dictionaries with id, category, severity, title, count and items. One
+    that raises, or gives something else, loses its own findings of that page only; ``errors`` names it with its message.
+    A page that has a finding of a scanner is not ``clean``. Pages without html are locked and not scanned.
+    """
+    fields = [("id", pa.string()), ("category", pa.string()), ("severity", pa.string()), ("title", pa.string()), ("count", pa.int64()), ("items", pa.list_(pa.string()))]
+    found_type, error_type = pa.list_(pa.struct(fields)), pa.list_(pa.struct([("scanner", pa.string()), ("error", pa.string())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, errors = [], []
+            for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
+                mine, wrong = [], []
+                for name, scanner in scanners.items() if html is not None else ():
+                    try:
+                        given = [{k: f[k] for k, _ in fields} for f in scanner(html, url)]
+                        pa.array([given], found_type)
+                        mine += given
+                    except Exception as exc:
+                        wrong.append({"scanner": name, "error": (str(exc) or type(exc).__name__)[:ERROR_CHARS]})
+                found.append(mine)
+                errors.append(wrong)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(found, found_type), pa.array(errors, error_type)], ["doc_id", "more", "errors"])
+
+    kind = dict(pages.dtypes)["page_id"]
+    audited = audit_pages(pages.select("page_id", "url", "html")).select("doc_id", "findings")
+    extra = pages.select(F.col("page_id").alias("doc_id"), "html", "url").mapInArrow(
+        scan, f"doc_id {kind}, more array<{_FINDING}>, errors array<struct<scanner: string, error: string>>")
+    both = audited.join(extra, "doc_id")
+    plain = F.when(F.size("more") > 0, F.filter("findings", lambda f: f["id"] != "clean")).otherwise(F.col("findings"))
+    return both.select("doc_id", F.concat(plain.cast(f"array<{_FINDING}>"), "more").alias("findings"), "errors")
+
+
+def dead_letters(audited: DataFrame) -> DataFrame:
+    """(doc_id, scanner, error) of the scanners that failed, for a sink of their own."""
+    return audited.select("doc_id", F.inline("errors"))
+
+
 def severity_count_columns(findings: Column) -> list[Column]:
     def count(severity: str) -> Column:
         return F.size(F.filter(findings, lambda f: f["severity"] == severity)).cast("bigint").alias(severity)

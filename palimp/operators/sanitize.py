@@ -176,24 +176,49 @@ def sanitize_documents(pages: DataFrame, options: dict[str, bool]) -> DataFrame:
 
 
 def chain_walk(edges: DataFrame, heads: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes reachable from heads(doc_id, node_id, kind) by edges(doc_id, node_id, next_id, kind).
+    """Nodes reachable from heads(doc_id, node_id, kind) by edges(doc_id, node_id, next_id, kind), with their depth and the path of kinds.
 
-    One join per step on (doc_id, node_id), to the end of the chains unless ``max_depth`` is given. A node already visited is not
-    entered again, so cycles end. Each frontier is checkpointed: it is read by the next step and by the
-    result, and a lost executor does not replay the walk.
+    Where every node has one successor, as in a chain, steps double: each round joins the table of visited nodes with jumps of
+    1, 2, 4.. links and the jumps with themselves, so a chain of n links takes log2(n) rounds. Where nodes branch, one join per
+    step. Chains are walked to their end unless ``max_depth`` is given. A node already visited keeps its least depth, so cycles
+    end. Every round is checkpointed, and a lost executor does not replay the walk.
     """
-    links = checkpointed(edges.select("doc_id", "node_id", "next_id").distinct())
-    kinds = edges.groupBy("doc_id", F.col("node_id").alias("next_id")).agg(F.min("kind").alias("next_kind"))
-    kinds = checkpointed(kinds)
-    frontier = checkpointed(heads.select("doc_id", "node_id", F.lit(0).cast("bigint").alias("depth"), F.col("kind").alias("path"), "kind").distinct())
+    links = checkpointed(edges.select("doc_id", "node_id", "next_id").where("next_id is not null").distinct())
+    kinds = checkpointed(edges.groupBy("doc_id", F.col("node_id").alias("next_id")).agg(F.min("kind").alias("next_kind")))
+    start = checkpointed(heads.select("doc_id", "node_id", F.lit(0).cast("bigint").alias("depth"), F.col("kind").alias("path"), "kind").distinct())
+    if not links.groupBy("doc_id", "node_id").count().where("count > 1").isEmpty():
+        return _walk_by_steps(links, kinds, start, max_depth)
+    first = F.struct("depth", "path", "kind")
+    visited = checkpointed(start.groupBy("doc_id", "node_id").agg(F.min(first).alias("at")).select("doc_id", "node_id", "at.*"))
+    jumps = checkpointed(links.join(kinds, ["doc_id", "next_id"]).select("doc_id", "node_id", "next_id", F.concat(F.lit(" > "), "next_kind").alias("label"), "next_kind"))
+    known, span = visited.count(), 1
+    while max_depth is None or span <= max_depth:
+        ahead = visited.join(jumps, ["doc_id", "node_id"]).select(
+            "doc_id", F.col("next_id").alias("node_id"), (F.col("depth") + span).alias("depth"), F.concat("path", "label").alias("path"), F.col("next_kind").alias("kind"))
+        if max_depth is not None:
+            ahead = ahead.where(F.col("depth") <= max_depth)
+        visited = checkpointed(visited.unionByName(ahead).groupBy("doc_id", "node_id").agg(F.min(first).alias("at")).select("doc_id", "node_id", "at.*"))
+        n = visited.count()
+        if n == known:
+            break
+        onward = jumps.select("doc_id", F.col("node_id").alias("next_id"), F.col("next_id").alias("after"), F.col("label").alias("more"), F.col("next_kind").alias("after_kind"))
+        jumps = checkpointed(jumps.join(onward, ["doc_id", "next_id"]).select(
+            "doc_id", "node_id", F.col("after").alias("next_id"), F.concat("label", "more").alias("label"), F.col("after_kind").alias("next_kind")))
+        known, span = n, 2 * span
+    return visited
+
+
+def _walk_by_steps(links: DataFrame, kinds: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
+    frontier = start
+    visited = checkpointed(start.select("doc_id", F.col("node_id").alias("next_id")).distinct())
     reached = [frontier]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        visited = reduce(lambda a, b: a.unionByName(b), [r.select("doc_id", F.col("node_id").alias("next_id")) for r in reached])
         stepped = frontier.join(links, ["doc_id", "node_id"]).join(visited, ["doc_id", "next_id"], "left_anti").join(kinds, ["doc_id", "next_id"])
         frontier = checkpointed(stepped.groupBy("doc_id", F.col("next_id").alias("node_id")).agg(
             F.lit(depth).cast("bigint").alias("depth"), F.min(F.concat("path", F.lit(" > "), "next_kind")).alias("path"), F.min("next_kind").alias("kind")))
         if frontier.isEmpty():
             break
+        visited = checkpointed(visited.unionByName(frontier.select("doc_id", F.col("node_id").alias("next_id"))))
         reached.append(frontier)
     return reduce(lambda a, b: a.unionByName(b), reached)
 
@@ -214,17 +239,22 @@ def excise_chain(edges: DataFrame, heads: DataFrame, flagged: list[str], max_dep
     starts = heads.select("doc_id", F.lit(ROOT).cast("bigint").alias("node_id"), F.col("node_id").alias("next_id")).distinct().join(bad, ["doc_id", "next_id"], "left")
     good_sources = inside.join(bad.select("doc_id", F.col("next_id").alias("node_id")), ["doc_id", "node_id"], "left_anti")
     pending = good_sources.unionByName(starts)
-    done = [pending.where("bad is null").select("doc_id", "node_id", "next_id")]
-    pending = checkpointed(pending.where("bad").select("doc_id", "node_id", "next_id"))
-    seen = [pending]  # flagged nodes in a cycle are followed once
-    while not pending.isEmpty():
-        onward = inside.select("doc_id", F.col("node_id").alias("next_id"), F.col("next_id").alias("after"), "bad")
-        moved = checkpointed(pending.join(onward, ["doc_id", "next_id"]).select("doc_id", "node_id", F.col("after").alias("next_id"), "bad").distinct())
-        done.append(moved.where("bad is null").select("doc_id", "node_id", "next_id"))
-        passed = reduce(lambda a, b: a.unionByName(b), seen)
-        pending = checkpointed(moved.where("bad").select("doc_id", "node_id", "next_id").join(passed, ["doc_id", "node_id", "next_id"], "left_anti"))
-        seen.append(pending)
-    links = reduce(lambda a, b: a.unionByName(b), done).distinct()
+    kept = pending.where("bad is null").select("doc_id", "node_id", "next_id")
+    into_bad = checkpointed(pending.where("bad").select("doc_id", "node_id", "next_id"))
+    # Where a run of flagged nodes leads: their links, doubled until all end at a node that stays. Runs that go in circles end nowhere.
+    onward = inside.join(bad.select("doc_id", F.col("next_id").alias("node_id")), ["doc_id", "node_id"], "left_semi").select(
+        "doc_id", F.col("node_id").alias("via"), F.col("next_id").alias("after"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    onward = checkpointed(onward)
+    n_open, span = onward.where("bad").count(), 1
+    while n_open and span <= 2 * n_open:
+        further = onward.select("doc_id", F.col("via").alias("after"), F.col("after").alias("last"), F.col("bad").alias("last_bad"))
+        moved = onward.where("bad").join(further, ["doc_id", "after"]).select("doc_id", "via", F.col("last").alias("after"), F.col("last_bad").alias("bad"))
+        onward = checkpointed(onward.where("not bad").unionByName(moved).distinct())
+        if onward.where("bad").isEmpty():
+            break
+        span *= 2
+    led = into_bad.withColumnRenamed("next_id", "via").join(onward.where("not bad"), ["doc_id", "via"]).select("doc_id", "node_id", F.col("after").alias("next_id"))
+    links = kept.unionByName(led).distinct()
     drops = walked.where(F.col("kind").isin(flagged)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dropped"))
     return links, drops
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from palimp import model
@@ -11,11 +13,14 @@ from palimp.operators import audit
 from palimp.plans import base
 from palimp.plans.base import FINDINGS, RANK, attr, lit, query
 from palimp.sources.surfaces import strip_tags, surfaces_from_html
+from palimp.session import ship_by_value
 from palimp.sources.tables import table
 
 _COUNTS = ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in ("high", "medium", "low", "info"))
 _RISK = "case min(" + RANK + ") when 0 then 'high' when 1 then 'medium' when 2 then 'low' else 'info' end"
 
+ship_by_value(__name__)
+
 
 def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages")
@@ -140,3 +145,34 @@ def doc_metadata(spark, sf_dir):
 @query("domain_of", f"select page_id as doc_id, {base.domain_of('url')} as domain, {base.domain_of('html')} as head from pages")
 def domain(spark, sf_dir):
     return _pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), domain_of(F.col("url")).alias("domain"), domain_of(F.col("html")).alias("head"))
+
+
+def ad_slot(html, url):
+    """A caller's scanner: the slot of a page's advertisement. Slots of odd number make it fail."""
+    found = re.search("<!-- ad ([0-9]+) -->", html)
+    if found is None:
+        raise LookupError("no slot")
+    if int(found[1]) % 2:
+        raise ValueError(f"slot {found[1]} is reserved")
+    return [{"id": "page.ad", "category": "content", "severity": "info", "title": "Advertisement", "count": 1, "items": [found[1]]}]
+
+
+def path_words(html, url):
+    """A caller's scanner that gives nothing for a page whose address has no path."""
+    words = [w for w in url.split("/")[3:] if w]
+    return [{"id": "page.path", "category": "content", "severity": "info", "title": "Path", "count": len(words), "items": words}] if words else []
+
+
+_SLOT = "regexp_extract(html, '<!-- ad ([0-9]+) -->', 1)"
+
+
+@query("audit_isolated_scanners", f"""with {FINDINGS}, pathed as (select page_id, len(list_filter(string_split(url, '/')[4:], lambda w: w <> '')) > 0 as pathed, {_SLOT} as slot, html from pages),
+ ids as (select doc_id, id from findings where id <> 'clean' union all select page_id, 'page.path' from pathed where pathed and html is not null
+  union all select page_id, 'page.ad' from pathed where slot <> '' and cast(slot as bigint) % 2 = 0)
+ select page_id as doc_id, coalesce((select string_agg(id, ',' order by id) from ids where ids.doc_id = page_id), 'clean') as ids,
+  case when slot = '' then 'ad_slot: no slot' when cast(slot as bigint) % 2 = 1 then concat('ad_slot: slot ', slot, ' is reserved') else '' end as errors from pathed""")
+def audit_isolated_scanners(spark, sf_dir):
+    """The audit with two scanners of a caller, one of which raises on many pages."""
+    out = audit.audit_with_scanners(table(spark, sf_dir, "pages"), {"ad_slot": ad_slot, "path_words": path_words})
+    ids = F.array_join(F.sort_array(F.transform("findings", lambda f: f["id"])), ",")
+    return out.select("doc_id", ids.alias("ids"), F.array_join(F.transform("errors", lambda e: F.concat(e["scanner"], F.lit(": "), e["error"])), "; ").alias("errors"))

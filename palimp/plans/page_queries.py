@@ -8,12 +8,15 @@ from palimp.functions import text as tx
 from palimp.operators import batch, compare, dedup, pages
 from palimp.plans import base
 from palimp.plans.audit_queries import META_SQL, metadata_columns
+from palimp.session import ship_by_value
 from palimp.plans.base import DOC_PAGES, SURFACES, query
 from palimp.sources.surfaces import page_count, paginate, surfaces_from_html
 from palimp.sources.tables import table
 
 _STR = F.lit
 
+ship_by_value(__name__)
+
 
 def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
@@ -351,13 +354,15 @@ def batch_summary(spark, sf_dir):
  case when status = 'error' then substr(concat('document ', doc_id, ' of ', source, ' is too small: ', original_size, ' characters, at least 200 are needed to shrink it without losing its layout'), 1, 100) else '' end as message,
  case when status = 'error' then null else compressed_size end as compressed_size from outcomes""")
 def batch_isolation(spark, sf_dir):
-    rows = outcomes(spark, sf_dir)
-    message = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" of "), F.col("source"), F.lit(" is too small: "),
-                       F.col("original_size").cast("string"), F.lit(" characters, at least 200 are needed to shrink it without losing its layout"))
-    failed = F.col("status") == "error"
-    return rows.select("doc_id", F.when(failed, "error").otherwise("ok").alias("status"),
-                       F.when(failed, F.substring(message, 1, 100)).otherwise("").alias("message"),
-                       F.when(~failed, F.col("compressed_size")).alias("compressed_size"))
+    """An operation that raises on documents of under 200 characters."""
+    rows = outcomes(spark, sf_dir).select("doc_id", "source", "original_size", "compressed_size")
+    return batch.isolated(rows, "doc_id", shrunk_size).withColumnRenamed("result", "compressed_size")
+
+
+def shrunk_size(row):
+    if row["original_size"] < 200:
+        raise ValueError(f"document {row['doc_id']} of {row['source']} is too small: {row['original_size']} characters, at least 200 are needed to shrink it without losing its layout")
+    return row["compressed_size"]
 
 
 @query("overlay_metadata", """with u as (select doc_id, max(case when toxic = 1 then 'flagged' else '' end) as new_source, max(case when quality = 1 then 'reviewed' else '' end) as new_lang from labels group by doc_id)

@@ -132,22 +132,31 @@ def hub_reach(spark, sf_dir):
     return lookup.hub_reach(codes, tables.routes(spark, sf_dir), 0)
 
 
-def _key(spark, salt=""):
-    """32-byte key from the session's secret; the default only serves tests."""
-    return F.unhex(F.sha2(F.lit(spark.conf.get("palimp.protect.secret", "test secret") + salt), 256))
-
-
-@query("protect_columns")
+@query("protect_columns", """select doc_id, concat('{"cipher":"aes-256-gcm","version":3,"key":"k1","name":"', source, '"}') as header, cast(strlen(text) + 28 as bigint) as payload_bytes, cast(60 as bigint) as wrapped_bytes, md5(text) as text_hash
+ from documents where text is not null""")
 def protect_columns(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "source", "text")
-    return protect.protect_columns(d, "text", F.col("source"), _key(spark)).select("doc_id", "header", "payload")
+    """What is clear of every sealed document, and what it opens to."""
+    keys = protect.key_table(spark, "k1", "k2")
+    sealed = protect.protect_columns(docs(spark, sf_dir).select("doc_id", "source", "text").where("text is not null"), "text", F.col("source"), keys, "k1")
+    size = lambda c: F.octet_length(c).cast("bigint").alias(f"{c}_bytes")
+    sealed = sealed.select("doc_id", "header", "wrapped", "payload", size("payload"), size("wrapped"))
+    return protect.unprotect_columns(sealed, "text", keys).select("doc_id", "header", "payload_bytes", "wrapped_bytes", F.md5(F.col("text")).alias("text_hash"))
 
 
 @query("unprotect_columns", """select doc_id, case doc_id % 3 when 0 then 'ok' else 'wrong key or altered' end as status, case doc_id % 3 when 0 then md5(text) end as text_hash from documents""")
 def unprotect_columns(spark, sf_dir):
-    """A third of the rows keeps its header, a third has it altered, a third is opened with another key."""
-    d = docs(spark, sf_dir).select("doc_id", "source", "text")
-    sealed = protect.protect_columns(d, "text", F.col("source"), _key(spark))
-    altered = sealed.withColumn("header", F.when(F.col("doc_id") % 3 == 1, F.replace("header", F.lit("src"), F.lit("other"))).otherwise(F.col("header")))
-    key = F.when(F.col("doc_id") % 3 == 2, _key(spark, "!")).otherwise(_key(spark))
-    return protect.unprotect_columns(altered, "text", key).select("doc_id", "status", F.md5(F.col("text")).alias("text_hash"))
+    """A third of the rows keeps its header, a third has it altered, a third names another key."""
+    keys = protect.key_table(spark, "k1", "k2")
+    sealed = protect.protect_columns(docs(spark, sf_dir).select("doc_id", "source", "text"), "text", F.col("source"), keys, "k1")
+    i, head = F.col("doc_id") % 3, F.col("header")
+    altered = sealed.withColumn("header", F.when(i == 1, F.replace(head, F.lit("src"), F.lit("other"))).when(i == 2, F.replace(head, F.lit('"k1"'), F.lit('"k2"'))).otherwise(head))
+    return protect.unprotect_columns(altered, "text", keys).select("doc_id", "status", F.md5(F.col("text")).alias("text_hash"))
+
+
+@query("rotate_keys", "select doc_id, 'ok' as status, md5(text) as text_hash from documents")
+def rotate_keys(spark, sf_dir):
+    """Documents sealed under one key, wrapped anew under another, and opened with that one alone."""
+    keys = protect.key_table(spark, "k1", "k2")
+    sealed = protect.protect_columns(docs(spark, sf_dir).select("doc_id", "source", "text"), "text", F.col("source"), keys, "k1")
+    turned = protect.rotate_keys(sealed.withColumn("rotated", F.lit("k2")), keys)
+    return protect.unprotect_rotated(turned, "text", keys.where("key_id = 'k2'")).select("doc_id", "status", F.md5(F.col("text")).alias("text_hash"))

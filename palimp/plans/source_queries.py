@@ -69,15 +69,18 @@ def stream_hash_dedup(spark, sf_dir):
 
 
 @query("stream_op_metrics", """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, user_id % 5 as tool, count(*) filter (event_type <> 'error') as done, count(*) filter (event_type = 'error') as failed
- from events group by 1, 2""")
+ from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by 1, 2""")
 def stream_op_metrics(spark, sf_dir):
+    """Hours that the watermark has closed; an hour's state goes when its row is written."""
     metrics = streams.op_metrics_stream(streams.landing(spark, sf_dir, "events"))
-    flat = metrics.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "tool", "done", "failed")
-    return streams.latest_table(flat, "stream-metrics")
+    written = streams.to_table(metrics.select(F.col("w.start").alias("start"), "tool", "done", "failed"), "stream-metrics")
+    return written.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "tool", "done", "failed")
 
 
-@query("stream_redact_release", f"with {_RELEASE} select doc_id, hits, verified, status from report")
+@query("stream_redact_release", f"""with {_RELEASE} select r.doc_id, r.hits, verified, status, page_no, text from report r join redacted p on r.doc_id = p.doc_id where status <> 'no_match'
+ union all select doc_id, hits, verified, status, null, null from report where status = 'no_match'""")
 def stream_redact_release(spark, sf_dir, pages=None):
+    """The rows of all three sinks."""
     found = terms(spark, sf_dir)
     return streams.redact_release_stream(streams.landing(spark, sf_dir, "documents"), paginate, found, pages=pages)
 

@@ -49,23 +49,9 @@ def op_metrics_stream(events: DataFrame, tools: int = 5, late: str = "1 hour") -
         F.count_if(F.col("event_type") != "error").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"))
 
 
-def latest_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run an aggregation in complete mode; each batch writes the whole result under its own number."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, label + "-state")
-    last = {"batch": None}
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last["batch"] = batch_id
-
-    run_to_end(stream.writeStream.outputMode("complete").foreachBatch(write)
-               .option("checkpointLocation", state).trigger(availableNow=True).start())
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last['batch']}")
-
-
 def redact_release_stream(documents: DataFrame, paginate, terms: DataFrame, label: str = "release", **kw) -> DataFrame:
-    """Redact and verify each micro-batch; released, quarantined and report rows go to sinks named by the batch.
+    """Redact and verify each micro-batch; released, quarantined and report rows go to sinks named by the batch. Gives what the
+    sinks hold: the pages of released and quarantined documents, and a row without a page for those without a match.
 
     Writing a batch again overwrites its own folder, so a retried batch leaves no duplicates.
     """
@@ -79,4 +65,8 @@ def redact_release_stream(documents: DataFrame, paginate, terms: DataFrame, labe
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     run_to_end(documents.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start())
-    return spark.read.option("basePath", f"{out}/report").parquet(f"{out}/report").drop("batch")
+    sink = lambda name: spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}").drop("batch")
+    report = sink("report").select("doc_id", "hits", "verified", "status")
+    text = sink("released").unionByName(sink("quarantined"))
+    none = report.where("status = 'no_match'").withColumns({"page_no": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string")})
+    return report.where("status <> 'no_match'").join(text, "doc_id").unionByName(none)

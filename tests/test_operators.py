@@ -1,5 +1,6 @@
 """Operators on small hand-written inputs."""
 
+import random
 import re
 
 import pytest
@@ -318,16 +319,56 @@ def test_hub_and_codes(spark):
 
 
 def test_tampering_is_detected(spark):
-    key, other = F.unhex(F.sha2(F.lit("k"), 256)), F.unhex(F.sha2(F.lit("o"), 256))
+    keys = protect.key_table(spark, "k", "o")
     df = spark.createDataFrame([(1, "a", "text")], "id bigint, name string, v string")
-    sealed = protect.protect_columns(df, "v", F.col("name"), key).cache()
-    def opened(d, k):
-        r = protect.unprotect_columns(d, "v", k).first()
+    sealed = protect.protect_columns(df, "v", F.col("name"), keys, "k")
+    sealed.write.mode("overwrite").parquet(path := protect.scratch_path(spark, "sealed"))
+    sealed = spark.read.parquet(path)
+
+    def opened(d):
+        r = protect.unprotect_columns(d, "v", keys).first()
         return r.status, r.v
-    assert opened(sealed, key) == ("ok", "text")
-    assert opened(sealed, other)[1] is None
-    assert opened(sealed.withColumn("header", F.replace("header", F.lit('"a"'), F.lit('"b"'))), key)[0] != "ok"
-    assert opened(sealed.withColumn("payload", F.concat("payload", F.lit("x").cast("binary"))), key)[1] is None
+    assert opened(sealed) == ("ok", "text")
+    assert opened(sealed.withColumn("header", F.replace("header", F.lit('"k"'), F.lit('"o"'))))[1] is None
+    assert opened(sealed.withColumn("header", F.replace("header", F.lit('"k"'), F.lit('"gone"'))))[0] != "ok"
+    assert opened(sealed.withColumn("header", F.replace("header", F.lit('"a"'), F.lit('"b"'))))[0] != "ok"
+    assert opened(sealed.withColumn("payload", F.concat("payload", F.lit("x").cast("binary"))))[1] is None
+    assert opened(sealed.withColumn("wrapped", F.concat("wrapped", F.lit("x").cast("binary"))))[1] is None
+
+
+def test_keys_are_one_per_value_and_in_no_plan(spark):
+    keys = protect.key_table(spark, "k", "o")
+    df = spark.createDataFrame([(1, "a", "text"), (2, "a", "text"), (3, "a", None)], "id bigint, name string, v string")
+    sealed = protect.protect_columns(df, "v", F.col("name"), keys, "k")
+    rows = sealed.collect()
+    assert len({bytes(r.wrapped) for r in rows}) == 3 and rows[2].payload is None
+    plan = sealed._jdf.queryExecution().toString().lower()
+    for key in keys.collect():
+        assert bytes(key.key).hex() not in plan and len(key.key) == 32
+    turned = protect.rotate_keys(sealed.withColumn("rotated", F.lit("o")), keys)
+    only_new = protect.unprotect_rotated(turned, "v", keys.where("key_id = 'o'"))
+    assert {(r.id, r.status, r.v) for r in only_new.collect()} == {(1, "ok", "text"), (2, "ok", "text"), (3, "ok", None)}
+    assert {r.status for r in protect.unprotect_rotated(turned, "v", keys.where("key_id = 'k'")).where("id < 3").collect()} == {"wrong key or altered"}
+
+
+def test_long_and_circular_chains(spark):
+    """Doubling gives what single steps give, and a long chain and a long flagged run take few rounds."""
+    rng = random.Random(4)
+    rows = [(d, n, rng.randrange(12), rng.choice("ab")) for d in range(6) for n in range(12)]
+    edges = spark.createDataFrame(rows, "doc_id bigint, node_id bigint, next_id bigint, kind string")
+    heads = edges.where("node_id < 2").select("doc_id", "node_id", "kind")
+    forked = edges.unionByName(spark.createDataFrame([(99, 0, 1, "a"), (99, 0, 2, "a")], edges.schema))  # a fork anywhere makes it go by steps
+    for depth in (None, 3):
+        want = {tuple(r) for r in sanitize.chain_walk(forked, heads, depth).select("doc_id", "node_id", "depth", "path", "kind").collect()}
+        assert {tuple(r) for r in sanitize.chain_walk(edges, heads, depth).select("doc_id", "node_id", "depth", "path", "kind").collect()} == want
+    n = 1500
+    chain = spark.range(n).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("id").alias("node_id"), (F.col("id") + 1).alias("next_id"),
+                                  F.when((F.col("id") == 0) | (F.col("id") == n - 1), "u").otherwise("x").alias("kind"))
+    start = chain.where("node_id = 0").select("doc_id", "node_id", "kind")
+    walked = sanitize.chain_walk(chain, start)
+    assert walked.count() == n and walked.agg(F.max("depth")).first()[0] == n - 1
+    links, drops = sanitize.excise_chain(chain, start, ["x"])
+    assert {tuple(r) for r in links.collect()} == {(1, sanitize.ROOT, 0), (1, 0, n - 1)} and drops.first().dropped == n - 2
 
 
 def test_files_by_magic(spark, tmp_path):
