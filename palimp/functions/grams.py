@@ -1,8 +1,8 @@
 """Anchors for substring search: hashes that a text must share with any needle it contains.
 
 A needle of 12 or more characters spans whole windows of eight 5-grams, and the smallest hash of such a
-window (its minimiser) is also a minimiser of every text around it. Shorter needles use 3-grams, needles
-of one or two characters themselves. So a text that contains the needle always emits the needle's anchor;
+window (its minimiser) is also a minimiser of every text around it. Needles of six characters and more use
+6-grams, shorter ones 3-grams, needles of one or two characters themselves. So a text that contains the needle always emits the needle's anchor;
 sharing an anchor makes a candidate, which the caller confirms.
 """
 
@@ -18,6 +18,7 @@ from palimp.session import ship_by_value
 ship_by_value(__name__)
 
 LONG_NEEDLE, GRAM, WINDOW = 12, 5, 8
+MIDDLE_NEEDLE = 6
 
 # Odd 64-bit multipliers of the rolling and mixing hashes.
 _ROLL = 0x9E3779B97F4A7C15
@@ -41,11 +42,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 def needle_class(length: int) -> int:
-    return 5 if length >= LONG_NEEDLE else min(length, 3)
+    return GRAM if length >= LONG_NEEDLE else MIDDLE_NEEDLE if length >= MIDDLE_NEEDLE else min(length, 3)
 
 
 def _class_anchors(codes: np.ndarray, cls: int) -> np.ndarray:
-    if cls < 5:
+    if cls != GRAM:
         return _gram_hashes(codes, cls)
     h = _gram_hashes(codes, GRAM)
     if len(h) < WINDOW:

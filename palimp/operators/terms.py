@@ -76,7 +76,8 @@ def term_hits(rows: DataFrame, keys: list[str], terms: DataFrame, case_sensitive
         return _by_automaton(rows, keys, shared)
     kind = _kind(F.col("surface"))
     searched = rows.select(*keys, "surface", kind.alias("kind"), hay(kind, F.col("value"), case_sensitive).alias("hay"))
-    needles = usable(terms).select("term", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
+    kinds = [r.kind for r in searched.select("kind").distinct().collect()]  # at most the three
+    needles = usable(terms).select("term", F.explode(F.array(*[F.lit(k) for k in kinds] or [F.lit("")])).alias("kind"))
     needles = needles.withColumn("needle", needle(F.col("kind"), F.col("term"), case_sensitive))
     return _by_shuffle(searched, keys, _owned_anchors(needles), hot)
 
@@ -138,7 +139,7 @@ def _owned_anchors(needles: DataFrame) -> DataFrame:
 
 def _classes(owned: DataFrame) -> list[int]:
     length = F.length("needle")
-    cls = F.when(length >= grams.LONG_NEEDLE, 5).otherwise(F.least(length, F.lit(3)))
+    cls = F.when(length >= grams.LONG_NEEDLE, grams.GRAM).when(length >= grams.MIDDLE_NEEDLE, grams.MIDDLE_NEEDLE).otherwise(F.least(length, F.lit(3)))
     return sorted(r.c for r in owned.select(cls.alias("c")).distinct().collect())
 
 

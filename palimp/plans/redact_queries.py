@@ -103,6 +103,32 @@ def scrub_counts(spark, sf_dir):
     return redact.removal_counts(redact.scrub_surfaces(surfaces(spark, sf_dir), terms(spark, sf_dir)))
 
 
+# Phrases: every tenth-length piece of the documents, hundreds of thousands of terms already on small tables.
+PHRASE = 10
+
+
+def phrases(spark, sf_dir):
+    """The distinct pieces of ten characters that begin at every fourth character of the documents, in small letters."""
+    text = F.lower("text")
+    starts = F.when(F.length(text) >= PHRASE, F.sequence(F.lit(1), F.length(text) - PHRASE + 1, F.lit(4)))
+    pieces = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, PHRASE)))).alias("term"))
+    return verify.stage(pieces.where(~F.col("term").rlike("^\\s|\\s$|\\s\\s|\u00df")).distinct(), "phrases")
+
+
+_PHRASES = f"""pieces as (select distinct substr(t, i, {PHRASE}) as term from (select lower(text) as t, unnest(range(1, length(text) - {PHRASE} + 2, 4)) as i from documents)),
+ phrases as (select term from pieces where not regexp_matches(term, '^[ \\t\\r\\n]|[ \\t\\r\\n]$|[ \\t\\r\\n][ \\t\\r\\n]|\u00df')),
+ windows as (select distinct conv_id, turn, substr(t, i, {PHRASE}) as term from (select conv_id, turn, t, unnest(range(1, length(t) - {PHRASE} + 2)) as i from (select conv_id, turn, replace(lower(text), '\u00df', 'ss') as t from conversations)))"""
+
+
+@query("phrase_match", f"with {_PHRASES} select conv_id, turn, cast(count(*) as bigint) as phrases, md5(string_agg(term, chr(10) order by term)) as terms_hash from windows join phrases using (term) group by conv_id, turn")
+def phrase_match(spark, sf_dir, **kw):
+    """Which of the documents' phrases each message holds: very many terms, found as substrings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("message").alias("surface"), F.col("text").alias("value"))
+    hits = term_hits(rows, ["conv_id", "turn"], phrases(spark, sf_dir), **kw)
+    # The phrases of one message, bounded by its length.
+    return hits.groupBy("conv_id", "turn").agg(F.count("*").alias("phrases"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), "\n")).alias("terms_hash"))
+
+
 # --- regions --------------------------------------------------------------------------------------
 
 # Two regions per document: valid, malformed, out of range, inverted and overlapping ones all occur.
