@@ -43,11 +43,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """block, payload: documents dealt by a hash into blocks of about BLOCK_BYTES; several payloads make a block."""
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, payload: documents dealt by a hash into blocks of about ``block_bytes``; several payloads make a block."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // block_bytes + 1))
     return rows.withColumn("block", block).mapInArrow(_pack, "block long, payload binary")
 
 

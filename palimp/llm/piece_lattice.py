@@ -27,6 +27,9 @@ from palimp.session import ship_by_value
 
 ship_by_value(__name__)
 
+#: Text bytes of a block: with its words and their ids it is held by one task, which bounds the memory of an executor.
+BLOCK_BYTES = 8 << 20
+
 SPACE = "▁"
 #: Characters of the longest word that goes through the lattice, and of the longest run of blanks in it. Other words, which
 #: are few in text, are encoded by the library: all their merges would be tied or would make long arrays.
@@ -190,7 +193,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.bool_())
         return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(zip(("doc_id", "ids", "round_trip"), kinds))})
 
-    blocks = packed(docs, key, text)
+    blocks = packed(docs, key, text, BLOCK_BYTES)
     words = staged(per_block(blocks, block_words, "block long, place int, word string"), "piece-words")
     cuts = segment(words.select("word").distinct(), piece_table(spark, vocabulary))
     # What goes back to a block is a place in its sorted words and a bit per boundary, not the words.
