@@ -10,14 +10,15 @@ Everything is DataFrame functions; no group of rows is gathered, so a conversati
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp.llm.base import BLANKS, partitions, query, staged, table, text_of
 
-#: The run of '>' that begins a quoted line, and a whole run of quoted lines. '^' is the start of a line, "\\n" alone ends one.
+#: The run of '>' that begins a quoted line, and a quoted line. '^' is the start of a line, "\\n" alone ends one. No pattern
+#: repeats a group, so that quotations and runs of '>' may be of any length.
 MARK = r"(?md)^[ \t]*+(>[> \t]*+)"
-QUOTED = r"(?md)(?:^[ \t]*+>[^\n]*+(?:\n|\z))+"
+QUOTED = r"(?md)^[ \t]*+>[^\n]*+(?:\n|\z)"
 #: What is between paragraphs.
 PARAGRAPH = r"\n[ \t\r]*\n"
 
@@ -35,15 +36,18 @@ def digest(text: Column) -> Column:
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, digest, bare: the distinct quoted passages of each message, found level by level inside the row.
-    A digest that stands in several layouts of lines has a row for each."""
-    marks = F.regexp_extract_all("text", F.lit(MARK), F.lit(1))
-    levels = messages.select("conv_id", "turn", "text", F.explode(F.array_distinct(F.transform(marks, level_of))).alias("level"))
-    # Consecutive lines of exactly this level.
-    exactly = F.concat(F.lit(r"(?md)(?:^[ \t]*+(?:>[ \t]*+){"), F.col("level").cast("string"), F.lit(r"}(?!>)[^\n]*+(?:\n|\z))+"))
-    found = levels.select("conv_id", "turn", "level", F.explode(F.regexp_extract_all("text", exactly, F.lit(0))).alias("passage"))
-    bare = F.regexp_replace("passage", MARK, "")
-    return found.where(normalised(bare) != "").select("conv_id", "turn", "level", digest(bare).alias("digest"), bare.alias("bare")).distinct()
+    """conv_id, turn, level, digest, bare: the distinct quoted passages of each message: runs of lines of one level.
+    A digest that stands in several layouts of lines has a row for each. The lines of a message are numbered and grouped as rows."""
+    quoting = messages.where(F.col("text").rlike(MARK)).select("conv_id", "turn", "text", F.monotonically_increasing_id().alias("message"))
+    lines = staged(quoting, "quoting").select("message", "conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.select("message", "conv_id", "turn", "at", level_of(F.regexp_extract("line", MARK, 1)).alias("level"), F.regexp_replace("line", MARK, "").alias("bare"))
+    order = Window.partitionBy("message").orderBy("at")  # the lines of one message
+    starts = (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("long")
+    runs = lines.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order)).where("level > 0")
+    passage = F.array_sort(F.collect_list(F.struct("at", "bare")))
+    found = runs.groupBy("message", "conv_id", "turn", "level", "run").agg(F.array_join(F.transform(passage, lambda x: x["bare"]), "\n").alias("bare"))
+    bare = F.col("bare")
+    return found.where(normalised(bare) != "").select("conv_id", "turn", "level", digest(bare).alias("digest"), "bare").distinct()
 
 
 def own_passages(messages: DataFrame) -> DataFrame:
