@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,3 +59,19 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 def partitions(df: DataFrame) -> int:
     """Shuffle width of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def set_apart(*taken: str):
+    """For operators that return their input's columns: columns whose names the operator needs for itself are renamed on the
+    way in and get their names back on the way out. Without a clash nothing changes."""
+
+    def around(operator):
+        @functools.wraps(operator)
+        def wrapped(docs: DataFrame, *args, **options) -> DataFrame:
+            aside = {c: f"{c}__aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+            out = operator(docs.withColumnsRenamed(aside) if aside else docs, *args, **options)
+            return out.withColumnsRenamed({new: old for old, new in aside.items()}) if aside else out
+
+        return wrapped
+
+    return around

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimp.llm.base import BLANKS, partitions, query, staged, table, text_of
+from palimp.llm.base import BLANKS, partitions, query, set_apart, staged, table, text_of
 from palimp.session import ship_by_value
 
 ship_by_value(__name__)
@@ -78,6 +78,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
+@set_apart("__at", "__norm", "__head", "__h", "__part", "__sha", "__starts")
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns as they were (of rows that repeat that
     id, one). The starts of runs are kept; a run that continues from the partition before has a start in each, and there

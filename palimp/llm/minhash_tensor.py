@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimp.llm.base import query, staged, table, text_of
+from palimp.llm.base import query, set_apart, staged, table, text_of
 from palimp.llm.components import connected_components
 from palimp.llm.shingles import U, mixed, shingle_set
 from palimp.session import ship_by_value
@@ -239,8 +239,13 @@ def _visits(sides: DataFrame, homes: DataFrame, components: DataFrame, texts: Da
     return held.groupBy("slice", "part").applyInArrow(_compare_visitors(words, percent), LINKS)
 
 
+@set_apart("__id")
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with their columns as they were."""
+    """The documents that stay, one of each component, with their columns as they were, clashing names included.
+
+    Documents without words are linked with nothing and stay. Rows that repeat an id stay or go together; null ids as in
+    :func:`near_duplicates`. An empty table gives no rows.
+    """
     kept = near_duplicates(docs, words, percent, key, text).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.llm.base import partitions, query, table
+from palimp.llm.base import partitions, query, set_apart, table
 
 #: A mean above this is drawn as the sum of several draws of equal smaller means, which keeps exp(-mean) exact.
 LARGEST_MEAN = 32.0
@@ -58,6 +58,7 @@ def source_class(source: str, weights: dict[str, float]) -> Column:
     return F.when(F.col(source).isin(named), F.col(source)).otherwise(OTHER)
 
 
+@set_apart("__class", "__parts", "__cdf", "__n")
 def mix(
     docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: int = 7, key: str = "doc_id", source: str = "source",
 ) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.base import fold, query, table, text_of
+from palimp.llm.base import fold, query, set_apart, table, text_of
 from palimp.session import ship_by_value
 
 ship_by_value(__name__)
@@ -212,12 +212,14 @@ def _score(shared):
     return score
 
 
+@set_apart("toxic", "__text", "__id")
 def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The documents' columns with ``__score``, the probability that a document is toxic: one row per input row.
 
     Learns from the labelled rows that are given, at most MAX_LABELLED documents; null labels and null ids are not learnt
     from, and a document with several labels counts by the largest. Null text is empty; empty texts get the score of no
-    evidence. Without documents of both classes every score is 0. An empty table gives no rows.
+    evidence. Labelled documents are halved by a hash of their ids; unless each half has both classes, every score is 0. An
+    empty table gives no rows. A column ``__score`` is replaced; all others, clashing names included, stay as they are.
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(label).alias("toxic"))
     sample = docs.select(F.col(key).alias("__id")).distinct().join(marked, "__id")
@@ -233,8 +235,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return rows.mapInArrow(_score(shared), schema)
 
 
+@set_apart("__score")
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below one half, with their columns as they were."""
+    """The documents that score below one half, with their columns as they were, clashing names included.
+
+    Nulls, repeats and empty tables as in :func:`toxicity_scores`: rows that repeat an id are judged each by its own text.
+    """
     scored = toxicity_scores(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     return scored.where("__score < 0.5").drop("__score")
 
