@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,19 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [*names, "__sha", "__starts"])
 
 
-def content_sorted(docs: DataFrame, columns: list[Column], key: str, text: str) -> DataFrame:
+def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`_mark_runs` with the number of each row's run within the partition, from 1."""
+    before = 0
+    for batch in _mark_runs(batches):
+        numbers = before + np.cumsum(batch.column("__starts").to_numpy(zero_copy_only=False).astype(np.int64))
+        before = int(numbers[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "__run"])
+
+
+def content_sorted(docs: DataFrame, columns: list[Column], key: str, text: str, number: bool = False) -> DataFrame:
     """The given columns of each row, with the digest of its normalised text (``__sha``), whether a run of equal texts
-    starts in it (``__starts``), and the number of its partition (``__part``); equal texts are ordered by id, nulls last."""
+    starts in it (``__starts``), and the number of its partition (``__part``); equal texts are ordered by id, nulls last.
+    With ``number`` also that of its run in the partition (``__run``)."""
     norm = F.regexp_replace(text_of(docs, text), BLANKS, " ")
     rows = docs.select(*columns, F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("__at"), norm.alias("__norm"))
     rows = (
@@ -60,7 +71,7 @@ def content_sorted(docs: DataFrame, columns: list[Column], key: str, text: str)
         .withColumn("__part", F.spark_partition_id())
     )
     out = StructType([f for f in rows.schema if f.name != "__norm"]).add("__sha", "string").add("__starts", "boolean")
-    return rows.mapInArrow(_mark_runs, out)
+    return rows.mapInArrow(_number_runs, out.add("__run", "long")) if number else rows.mapInArrow(_mark_runs, out)
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,9 +82,18 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Null ids sort last; a group of null ids only has a null ``keep_id`` and keeps them. An empty table gives no rows;
     other columns are ignored.
     """
-    marked = staged(content_sorted(docs, [F.col(key).cast("long").alias("doc_id")], key, text), "content-runs")
-    groups = marked.groupBy("__sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return marked.join(groups, "__sha").select(
+    columns = [F.col(key).cast("long").alias("doc_id")]
+    marked = staged(content_sorted(docs, columns, key, text, number=True).drop("__starts"), "content-runs")
+    run = ["__part", "__run"]
+    runs = staged(marked.groupBy(*run, "__sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "runs")
+    # Only the first and the last run of a partition can go on in another: at most two rows per partition.
+    ends = F.broadcast(runs.groupBy("__part").agg(F.max("__run").alias("last")))
+    edges = runs.join(ends, "__part").where("__run = 1 or __run = last")
+    whole = edges.groupBy("__sha").agg(F.min("keep_id").alias("whole_id"), F.sum("group_size").alias("whole_size"), F.count("*").alias("n")).where("n > 1")
+    merged = F.broadcast(edges.join(whole, "__sha").select(*run, "whole_id", "whole_size"))
+    groups = runs.join(merged, run, "left").select(
+        *run, F.when(F.col("whole_size").isNull(), F.col("keep_id")).otherwise(F.col("whole_id")).alias("keep_id"), F.coalesce("whole_size", "group_size").alias("group_size"))
+    return marked.join(groups, run).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("__sha").alias("text_sha256")
     )
 
