@@ -18,21 +18,29 @@ from palimp.session import ship_by_value
 
 ship_by_value(__name__)
 
-#: Rows of a shard and queries of a block; both bound what one task holds.
-SHARD_ROWS, BLOCK_ROWS = 4096, 256
+#: Rows of a shard, queries of a block, and blocks that meet a shard in one task; they bound what a task holds.
+SHARD_ROWS, BLOCK_ROWS, GROUP_BLOCKS = 4096, 256, 16
+#: The largest integer component. A product of vectors of 2048 such components is still a 64-bit integer.
+LARGEST = 1 << 26
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; vectors that are null or hold a null or a non-finite component are left out."""
+    """vec_id, v: floor(scale * x) of each component; vectors that are null or hold a null or a non-finite component are left out.
+
+    A component beyond LARGEST after scaling raises an error, as scores might not be integers of 64 bits then."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    far = F.raise_error(F.lit(f"a component is beyond {LARGEST} after scaling")).cast("bigint")
+    whole = lambda c: F.when(F.abs(c * scale) > LARGEST, far).otherwise(F.floor(c * scale))
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).where(~bad)
-    return rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best rows of one shard for each query, ties to smaller ids, never the query itself."""
+    """(query_id, vec_id, score) of the k best ids of one shard for each query, ties to smaller ids, never the query itself.
+    An id that repeats counts by its best row."""
     order = np.argsort(ids, kind="stable")
+    lead_rows = k + len(ids) - len(np.unique(ids))  # so many rows hold k ids at least
     ids, columns = ids[order], np.ascontiguousarray(rows[order].T)  # a posting list per term
     high, low = columns.max(axis=1), columns.min(axis=1)
     found = []
@@ -49,15 +57,18 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
             few = len(alive) < len(ids) // 2  # then only the competitive rows are probed
             score = score + (q[block] @ columns[np.ix_(block, alive)] if few else (q[block] @ columns[block])[alive])
             done = step + len(block)
-            if len(alive) <= k:
+            if len(alive) <= lead_rows:
                 continue
-            # Full scores of the k rows that lead so far: the last of the result is no lower than the lowest of them.
-            lead = alive[np.argpartition(-score, k - 1)[:k]]
+            # Full scores of the rows that lead so far: the last of the result is no lower than the lowest of them.
+            lead = alive[np.argpartition(-score, lead_rows - 1)[:lead_rows]]
             threshold = max(threshold, int((q @ columns[:, lead]).min()))
             keep = score + rest[done] >= threshold
             if not keep.all():
                 alive, score = alive[keep], score[keep]
-        best = np.lexsort((ids[alive], -score))[:k]
+        best = np.lexsort((ids[alive], -score))
+        if lead_rows > k:
+            best = best[np.sort(np.unique(ids[alive[best]], return_index=True)[1])]
+        best = best[:k]
         found += [(query_id, int(ids[alive[i]]), int(score[i])) for i in best]
     return found
 
@@ -90,23 +101,27 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query by inner product, ties to smaller ids; all, if fewer.
 
     Both sides have vec_id and an integer array ``v`` (see ``integer_vectors``). A query is never its own candidate. Vectors
-    of different length never meet. Repeated candidate rows count once; of repeated query rows one is searched. Empty
-    tables, and tables without a usable vector, give no rows.
+    of different length never meet. Of rows that repeat an id, queries or candidates, the best score of each pair of ids
+    counts. Empty tables, and tables without a usable vector, give no rows. Other columns are ignored.
     """
     packed = "part long, dim int, ids binary, data binary"
 
     def parts(df: DataFrame, rows: int, label: str) -> DataFrame:
-        df = df.dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
+        df = df.select("vec_id", "v").distinct().withColumn("dim", F.size("v"))
         n = max(1, -(-df.count() // rows))
         part = F.pmod(F.xxhash64("vec_id"), F.lit(n))
         return staged(df.withColumn("part", part).groupBy("part", "dim").applyInArrow(_pack, packed), label)
 
     shards, blocks = parts(candidates, SHARD_ROWS, "shards"), parts(queries, BLOCK_ROWS, "blocks")
-    # Every query block goes to every shard, which is the stated work: blocks of queries against all rows.
+    # Every query block goes to every shard, which is the stated work: blocks of queries against all rows, some blocks at a time.
+    n_groups = -(-blocks.count() // GROUP_BLOCKS) or 1
+    blocks = blocks.withColumn("turn", F.pmod(F.xxhash64("part"), F.lit(n_groups)))
     targets = shards.select(F.col("part").alias("shard"), F.col("dim").alias("shard_dim")).distinct()
-    work = blocks.join(targets, F.col("dim") == F.col("shard_dim")).select("shard", "shard_dim", "ids", "data")
-    pairs = shards.groupBy("part", "dim").cogroup(work.groupBy("shard", "shard_dim"))
+    work = blocks.join(targets, F.col("dim") == F.col("shard_dim")).select("shard", "shard_dim", "turn", "ids", "data")
+    shards = shards.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    pairs = shards.groupBy("part", "dim", "turn").cogroup(work.groupBy("shard", "shard_dim", "turn"))
     found = pairs.applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimp.llm import content_dedup, minhash_tensor, mixing, quote_linking, toxicity
+from palimp.llm import content_dedup, maxscore, minhash_tensor, mixing, quote_linking, toxicity
 
 TAKEN = ["toxic", "__id", "__text", "__score", "__at", "__norm", "__sha", "__starts", "__part", "__head", "__h", "__class", "__parts", "__cdf", "__n"]
 
@@ -47,3 +47,28 @@ def test_quotations_of_any_length(spark):
     assert quote_linking.thread_messages(df.limit(0)).count() == 0
     levels = {(r.level, r.bare) for r in quote_linking.quoted_passages(df.where("turn = 3").select("conv_id", "turn", F.col("text"))).collect()}
     assert levels == {(1, "Yes."), (2, "This is line 7.")}
+
+
+@pytest.mark.parametrize("shard_rows,block_rows,group", [(4096, 256, 16), (5, 2, 1)])
+def test_top_k_of_repeated_ids(spark, monkeypatch, shard_rows, block_rows, group):
+    """Of rows that repeat an id the best score of the two ids counts, on either side."""
+    for name, value in (("SHARD_ROWS", shard_rows), ("BLOCK_ROWS", block_rows), ("GROUP_BLOCKS", group)):
+        monkeypatch.setattr(maxscore, name, value)
+    rows = [(i % 17, [float((i * 7 + j * j) % 11 - 5) / 4 for j in range(6)], 0) for i in range(60)] + [(3, None, 0), (4, [None] * 6, 0), (None, [1.0] * 6, 0)]
+    v = maxscore.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in maxscore.top_k(v, v.where("vec_id % 5 = 0"), k=4).collect()}
+    held = [(i, [int(256 * x // 1) for x in e]) for i, e, _ in rows[:60]]
+    for q in (0, 5, 10, 15):
+        best = {}
+        for i, a in held:
+            for j, b in held:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -10**18), sum(x * y for x, y in zip(a, b)))
+        assert [got[q, r] for r in range(1, 5)] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert len(got) == 16
+
+
+def test_components_out_of_range_are_refused(spark):
+    far = spark.createDataFrame([(1, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond"):
+        maxscore.integer_vectors(far).collect()
