@@ -116,16 +116,17 @@ class Matcher:
         """Spans to remove, longest terms first and none over another, and the number of occurrences of every term in the text."""
         by_term: dict[int, list[tuple[int, int]]] = {}
         for start, end, term in sorted(self.spans(text, kind)):
-            mine = by_term.setdefault(term, [])
-            if not mine or start >= mine[-1][1]:
-                mine.append((start, end))
-        taken, spans = bytearray(len(text)), []
+            by_term.setdefault(term, []).append((start, end))
+        taken, spans, occurrences = bytearray(len(text)), [], 0
         for term in sorted(by_term, key=lambda i: (-len(self.terms[i]), self.terms[i])):
+            last = 0
             for start, end in by_term[term]:
-                if not any(taken[start:end]):
+                if start >= last:  # occurrences in the text as it was do not overlap
+                    occurrences, last = occurrences + 1, end
+                if not any(taken[start:end]):  # what is left of the text may hold others
                     taken[start:end] = b"\1" * (end - start)
                     spans.append((start, end))
-        return sorted(spans), sum(map(len, by_term.values()))
+        return sorted(spans), occurrences
 
 
 def matcher_of(held: dict) -> Matcher:
