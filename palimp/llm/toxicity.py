@@ -85,17 +85,21 @@ class SpellingModels:
             rest = np.full(len(found), 1 / 256) if below is None else self._shared(_shorter(found), len(self.levels) - 1)
             self.levels.append((found, np.maximum(n - DISCOUNT, 0) / totals[inverse] + weight[inverse] * rest, contexts, weight))
             below = found
+        # Every worker holds the models, so they are kept in half the bytes; sums are taken in full precision.
+        half = np.float32
+        self.counts, self.totals, self.kinds = self.counts.astype(half), self.totals.astype(half), self.kinds.astype(half)
+        self.levels = [(found, p.astype(half), contexts, weight.astype(half)) for found, p, contexts, weight in self.levels]
 
     def _shared(self, grams: np.ndarray, level: int) -> np.ndarray:
         if level < 0:
             return np.full(len(grams), 1 / 256)
         found, p, contexts, weight = self.levels[level]
         at, known = _look(found, grams)
-        out = np.where(known, p[at] if len(p) else 0.0, 0.0)
+        out = np.where(known, p[at].astype(float) if len(p) else 0.0, 0.0)
         if not known.all():
             missing = ~known
             c, there = _look(contexts, _context(grams[missing]))
-            back = np.where(there, weight[c] if len(weight) else 1.0, 1.0)
+            back = np.where(there, weight[c].astype(float) if len(weight) else 1.0, 1.0)
             shorter = self._shared(_shorter(grams[missing]), level - 1) if level else np.full(missing.sum(), 1 / 256)
             out[missing] = back * shorter
         return out
@@ -112,7 +116,7 @@ class SpellingModels:
         c, there = _look(self.contexts, _context(grams))
         difference = np.zeros(len(grams))
         for side, sign in ((0, 1), (1, -1)):
-            n, total, kinds = np.where(known, self.counts[side][at], 0), np.where(there, self.totals[side][c], 0), np.where(there, self.kinds[side][c], 0)
+            n, total, kinds = (np.where(there_, x[side][i], 0).astype(float) for there_, x, i in ((known, self.counts, at), (there, self.totals, c), (there, self.kinds, c)))
             safe = np.maximum(total, 1)
             p = np.where(total > 0, np.maximum(n - DISCOUNT, 0) / safe + DISCOUNT * kinds / safe * shared, shared)
             difference += sign * np.log(p)
