@@ -33,36 +33,49 @@ def parse_ranges(spec: Column, max_page: Column) -> Column:
 
 
 def select_page_ranges(specs: DataFrame, doc_pages: DataFrame) -> DataFrame:
-    """specs(doc_id, n_pages, spec) to pages in the order written, repeats kept; an invalid spec gives one error row."""
-    parsed = specs.select("doc_id", parse_ranges(F.col("spec"), F.col("n_pages")).alias("r"))
+    """specs(doc_id, n_pages, spec) to pages in the order written, repeats kept. No spec, or an empty one, means all pages; an
+    invalid spec gives one error row, and so does one that names no page."""
+    every = F.array(F.struct(F.lit(1).cast("bigint").alias("start"), F.col("n_pages").cast("bigint").alias("end")))
+    found = F.when(F.coalesce("spec", F.lit("")) == "", every).otherwise(parse_ranges(F.col("spec"), F.col("n_pages")))
+    parsed = specs.select("doc_id", found.alias("r"))
     pages = F.flatten(F.transform("r", lambda r: F.sequence(r["start"], r["end"])))
     wanted = parsed.select("doc_id", F.posexplode_outer(pages).alias("pos", "page_no")).where("page_no is not null")
     picked = wanted.join(doc_pages, ["doc_id", "page_no"]).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "page_no", "text", F.lit("ok").alias("status"))
-    bad = parsed.where("r is null").select(
+    bad = parsed.where("r is null or size(r) = 0").select(
         "doc_id", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("page_no"),
-        F.lit(None).cast("string").alias("text"), F.lit("invalid range").alias("status"))
+        F.lit(None).cast("string").alias("text"), F.when(F.col("r").isNull(), "invalid range").otherwise("no page").alias("status"))
     return picked.unionByName(bad)
 
 
 def page_groups(docs: DataFrame, mode: str, every_n: int = 1) -> DataFrame:
-    """docs(doc_id, n_pages[, spec]) to (doc_id, grp, start, end) for mode all, every_n or ranges; other modes are refused."""
-    if mode not in ("all", "every_n", "ranges") or every_n < 1:
+    """docs(doc_id, n_pages[, spec or chapters]) to (doc_id, grp, start, end, status) for mode all, every_n, ranges or chapters.
+
+    ``spec`` is a range string, ``chapters`` an array of (start, end). A document whose ranges or chapters are missing or
+    invalid gives one row with null numbers and the reason as its status. Other modes are refused.
+    """
+    if mode not in ("all", "every_n", "ranges", "chapters") or every_n < 1:
         raise ValueError(f"unknown mode {mode!r} or step {every_n}")
     n = F.col("n_pages")
     if mode == "ranges":
-        found = parse_ranges(F.col("spec"), n)
+        found, given = parse_ranges(F.col("spec"), n), F.coalesce(F.btrim("spec"), F.lit("")) != ""
+    elif mode == "chapters":
+        given = F.coalesce(F.size("chapters"), F.lit(0)) > 0
+        inside = F.forall("chapters", lambda c: F.coalesce((c["start"] >= 1) & (c["end"] <= n) & (c["start"] <= c["end"]), F.lit(False)))
+        found = F.when(inside, F.transform("chapters", lambda c: F.struct(c["start"].cast("bigint").alias("start"), c["end"].cast("bigint").alias("end"))))
     else:
-        step = 1 if mode == "all" else every_n
+        step, given = 1 if mode == "all" else every_n, F.lit(True)
         found = F.transform(F.sequence(F.lit(1).cast("bigint"), n, F.lit(step).cast("bigint")), lambda s: F.struct(
             s.alias("start"), F.least(s + step - 1, n).alias("end")))
-    return docs.select("doc_id", F.posexplode_outer(found).alias("pos", "r")).where("r is not null").select(
-        "doc_id", (F.col("pos") + 1).cast("bigint").alias("grp"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    status = F.when(~given, f"no {mode}").when(found.isNull(), f"invalid {mode}").otherwise("ok")
+    rows = docs.select("doc_id", status.alias("status"), F.posexplode_outer(F.when(given, found)).alias("pos", "r"))
+    return rows.where("r is not null or status <> 'ok'").select(
+        "doc_id", (F.col("pos") + 1).cast("bigint").alias("grp"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), "status")
 
 
 def assign_pages(groups: DataFrame, doc_pages: DataFrame) -> DataFrame:
-    """Pages of each group; a document's groups may overlap. Joined on (doc_id, page_no), not by range."""
-    wanted = groups.withColumn("page_no", F.explode(F.sequence("start", "end")))
+    """Pages of each group; a document's groups may overlap. Joined on (doc_id, page_no), not by range. Rows in error have none."""
+    wanted = groups.where("start is not null").withColumn("page_no", F.explode(F.sequence("start", "end"))).drop("status")
     return wanted.join(doc_pages, ["doc_id", "page_no"])
 
 

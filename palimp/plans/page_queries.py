@@ -54,6 +54,7 @@ _PARSED = f"""{_SIZED}, specs as (select doc_id, n_pages, {_SPEC_SQL} as spec fr
   select doc_id, row_number() over (partition by doc_id order by i, g) - 1 as pos, g as page_no
   from (select b.doc_id, i, unnest(range(s, e + 1)) as g from bounds b join verdict v on b.doc_id = v.doc_id and ok))
  select w.doc_id, cast(pos as bigint) as pos, cast(w.page_no as bigint) as page_no, length(p.text) as chars, 'ok' as status from wanted w join doc_pages p on w.doc_id = p.doc_id and w.page_no = p.page_no
+ union all select s.doc_id, p.page_no - 1, p.page_no, length(p.text), 'ok' from specs s join doc_pages p on s.doc_id = p.doc_id where spec = ''
  union all select doc_id, null, null, null, 'invalid range' from verdict where not ok""")
 def select_page_ranges(spark, sf_dir):
     specs = sized(spark, sf_dir).withColumn("spec", spec_column())
@@ -67,19 +68,22 @@ def select_page_ranges(spark, sf_dir):
  select doc_id, 'all' as mode, g as grp, g as s, g as e from (select doc_id, unnest(range(1, n_pages + 1)) as g from sized)
  union all select doc_id, 'every_n', (g + 2) // 3, g, least(g + 2, n_pages) from (select doc_id, n_pages, unnest(range(1, n_pages + 1, 3)) as g from sized)
  union all select b.doc_id, 'ranges', row_number() over (partition by b.doc_id order by i), s, e from bounds b join verdict v on b.doc_id = v.doc_id and ok
+ union all select s.doc_id, 'ranges', null, null, null from specs s left join verdict v on s.doc_id = v.doc_id where not coalesce(ok, false)
  union all select t.doc_id, 'chapters', row_number() over (partition by t.doc_id order by page), page, least(page + 3, n_pages) from toc t join sized d on t.doc_id = d.doc_id where level = 1)
- select doc_id, mode, cast(grp as bigint) as grp, cast(s as bigint) as start_page, cast(e as bigint) as end_page, cast(e - s + 1 as bigint) as n_pages from groups""")
+ select g.doc_id, mode, cast(grp as bigint) as grp, cast(s as bigint) as start_page, cast(e as bigint) as end_page, cast(e - s + 1 as bigint) as n_pages,
+  case when grp is not null then 'ok' when spec = '' then 'no ranges' else 'invalid ranges' end as status from groups g join specs p on g.doc_id = p.doc_id""")
 def assign_page_groups(spark, sf_dir):
     d = sized(spark, sf_dir).withColumn("spec", spec_column())
     modes = [pages.page_groups(d, m, 3).withColumn("mode", F.lit(m)) for m in ("all", "every_n", "ranges")]
     every = pages.page_groups(d, "all").select("doc_id", F.col("start").alias("seq"), F.col("start").alias("page"))
     toc = every.withColumn("level", F.when(F.col("page") % 4 == 1, 1).otherwise(2))
     ended = pages.toc_ranges(toc, d.select("doc_id", F.col("n_pages").alias("last_page")), max_level=2).where("level = 1")
-    chapters = ended.select("doc_id", (F.floor((F.col("page") - 1) / 4) + 1).alias("grp"),
-                            F.col("page").alias("start"), F.col("end_page").alias("end"), F.lit("chapters").alias("mode"))
+    # The chapters of one document.
+    found = ended.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("start"), F.col("end_page").alias("end")))).alias("chapters"))
+    chapters = pages.page_groups(d.join(found, "doc_id"), "chapters").withColumn("mode", F.lit("chapters"))
     out = modes[0].unionByName(modes[1]).unionByName(modes[2]).unionByName(chapters)
-    return out.select("doc_id", "mode", F.col("grp").cast("bigint").alias("grp"), F.col("start").cast("bigint").alias("start_page"),
-                      F.col("end").cast("bigint").alias("end_page"), (F.col("end") - F.col("start") + 1).cast("bigint").alias("n_pages"))
+    return out.select("doc_id", "mode", "grp", F.col("start").cast("bigint").alias("start_page"), F.col("end").cast("bigint").alias("end_page"),
+                      (F.col("end") - F.col("start") + 1).cast("bigint").alias("n_pages"), "status")
 
 
 @query("page_operations", f"""with {_SIZED}, p as (select doc_id, unnest(range(1, n_pages + 1)) as page_no from sized),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions.matching import Matcher
-from palimp.operators import audit, batch, redact, verify
+from palimp.operators import audit, batch, pages as page_ops, redact, verify
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,19 @@ def test_automaton_equals_search_term_by_term():
         left = redact.without(text, spans, model.REDACTION_MARK)
         assert not m.spans(left, "page_text"), (text, terms, left)
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_ranges_and_chapters_in_error_say_so(spark):
+    docs = spark.createDataFrame(
+        [(1, 5, "2-3, 1", [(1, 2), (3, 5)]), (2, 5, "x-y", [(0, 2)]), (3, 5, "", []), (4, 5, None, None), (5, 5, " , ", [(4, 9)]), (6, 5, "3-9", [(2, None)])],
+        "doc_id bigint, n_pages bigint, spec string, chapters array<struct<start: bigint, end: bigint>>")
+    got = lambda mode: {(r.doc_id, r.grp, r.start, r.end, r.status) for r in page_ops.page_groups(docs, mode).collect()}
+    assert got("ranges") == {(1, 1, 2, 3, "ok"), (1, 2, 1, 1, "ok"), (2, None, None, None, "invalid ranges"), (3, None, None, None, "no ranges"),
+                             (4, None, None, None, "no ranges"), (6, None, None, None, "invalid ranges")}
+    assert {r for r in got("chapters") if r[0] != 1} == {(2, None, None, None, "invalid chapters"), (3, None, None, None, "no chapters"), (4, None, None, None, "no chapters"),
+                                                        (5, None, None, None, "invalid chapters"), (6, None, None, None, "invalid chapters")}
+    pages = spark.createDataFrame([(d, p, f"{d}.{p}") for d in range(1, 7) for p in range(1, 6)], "doc_id bigint, page_no bigint, text string")
+    picked = page_ops.select_page_ranges(docs.select("doc_id", "n_pages", "spec"), pages).collect()
+    assert [r.text for r in sorted(picked, key=lambda r: r.pos or 0) if r.doc_id == 1] == ["1.2", "1.3", "1.1"]
+    assert {r.doc_id: r.status for r in picked if r.status != "ok"} == {2: "invalid range", 5: "no page", 6: "invalid range"}
+    assert sum(r.doc_id in (3, 4) for r in picked) == 10
