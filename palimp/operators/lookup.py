@@ -19,6 +19,19 @@ def describe_codes(rows: DataFrame, trigger: Column, action: Column) -> DataFram
     return joined.withColumn("fires", F.coalesce("fires", fallback)).withColumn("does", F.coalesce("does", F.lit("runs an action")))
 
 
+def describe_autorun(rows: DataFrame, where: Column, action: Column) -> DataFrame:
+    """Add ``description``: where an action hangs, when it fires and what it does.
+
+    ``where`` is a path of names; the trigger is its last name behind an additional-actions entry. An open action fires as soon as
+    the document is opened, whatever else the path says; a path without a trigger fires automatically.
+    """
+    names = F.filter(F.split(F.replace(where, F.lit("/Next"), F.lit("")), "[ \t\r\n]+", -1), lambda t: t.startswith("/") & (t != "/AA"))
+    trigger = F.when(F.contains(where, F.lit("/AA")), F.substring(F.coalesce(F.get(names, F.size(names) - 1), F.lit("/")), 2, 1 << 30)).otherwise("")
+    coded = describe_codes(rows, trigger, action)
+    when = F.when(F.contains(where, F.lit("/OpenAction")), "fires as soon as the document is opened").otherwise(F.col("fires"))
+    return coded.withColumn("description", F.concat(where, F.lit(" \u2014 "), when, F.lit("; "), F.col("does"))).drop("trigger", "action", "fires", "does")
+
+
 def hub_reach(codes: DataFrame, edges: DataFrame, hub: int | str) -> DataFrame:
     """codes(code) with flags: reachable from the hub, and able to reach it. Linear in the edges."""
     flags = edges.where((F.col("src") == hub) | (F.col("dst") == hub)).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimp import model
 from palimp.functions.text import render_name, squeeze
 from palimp.operators import ordered
+from palimp.sources.surfaces import page_array
 
 
 def parse_ranges(spec: Column, max_page: Column) -> Column:
@@ -114,6 +115,20 @@ def extract_text(doc_pages: DataFrame) -> DataFrame:
         "char_count", F.length("text").cast("bigint"))
 
 
+def extract_row_text(documents: DataFrame, lines_per_page: int = 10, spec: Column | None = None) -> DataFrame:
+    """:func:`extract_text` from documents(doc_id, text) inside the row, without a shuffle. With ``spec``, a range string, only its
+    pages in the order written; an invalid one gives a null text. A null text gives no row."""
+    pages = page_array(F.col("text"), lines_per_page)
+    n = F.size("pages").cast("bigint")
+    every = F.sequence(F.lit(1).cast("bigint"), n)
+    wanted = every if spec is None else F.when(F.coalesce(spec, F.lit("")) == "", every).otherwise(
+        F.flatten(F.transform(parse_ranges(spec, n), lambda r: F.sequence(r["start"], r["end"]))))
+    rows = documents.where(F.col("text").isNotNull()).withColumn("pages", pages).withColumn("wanted", wanted)
+    parts = F.transform("wanted", lambda i: F.concat(F.lit("--- Page "), i.cast("string"), F.lit(" ---\n"), F.get("pages", (i - 1).cast("int")), F.lit("\n")))
+    return rows.select("doc_id", F.array_join(parts, "\n").alias("text"), F.size("wanted").cast("bigint").alias("page_count")).withColumn(
+        "char_count", F.length("text").cast("bigint"))
+
+
 def merge_documents(inputs: list[DataFrame]) -> DataFrame:
     """Ordered bag union of two or more inputs of equal shape."""
     if len(inputs) < 2:

@@ -70,13 +70,12 @@ def link_domains(spark, sf_dir):
     return rows.select("doc_id", "severity", "count", _joined("items").alias("domains"), F.size("items").cast("bigint").alias("n_domains"))
 
 
-@query("hidden_text_pages", f"""select case when regexp_matches(html, {lit(P.HIDDEN_STYLE)}) then 'hidden' else 'visible' end as kind,
- count(*) as pages, cast(sum(len(regexp_extract_all(html, {lit(P.HIDDEN_STYLE)}))) as bigint) as hits from pages group by 1""")
+@query("hidden_text_pages", f"""select page_id as doc_id, cast(regexp_matches(html, {lit(P.HIDDEN_STYLE)}) as bigint) as pages, cast(len(regexp_extract_all(html, {lit(P.HIDDEN_STYLE)})) as bigint) as hits
+ from pages where html is not null""")
 def hidden_text_pages(spark, sf_dir):
-    hits = F.regexp_count("html", F.lit(P.HIDDEN_STYLE))
-    return _pages(spark, sf_dir).select(hits.alias("n")).groupBy(
-        F.when(F.col("n") > 0, "hidden").otherwise("visible").alias("kind")
-    ).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").cast("bigint").alias("hits"))
+    """Per document, the pages with hidden text, one at most for a web page, and how often it is hidden."""
+    hits = F.regexp_count("html", F.lit(P.HIDDEN_STYLE)).cast("bigint")
+    return _pages(spark, sf_dir).where("html is not null").select(F.col("page_id").alias("doc_id"), (hits > 0).cast("bigint").alias("pages"), hits.alias("hits"))
 
 
 @query("findings_ranked", f"with {FINDINGS} select doc_id, id, severity, row_number() over (partition by doc_id order by {RANK}, seq) as position from findings")

@@ -115,7 +115,7 @@ def page_blocks(spark, sf_dir):
 @query("extract_text", f"""with {DOC_PAGES}, t as (select doc_id, string_agg(concat('--- Page ', page_no, ' ---', chr(10), text, chr(10)), chr(10) order by page_no) as text,
  count(*) as page_count from doc_pages group by doc_id) select doc_id, text, page_count, length(text) as char_count from t""")
 def extract_text(spark, sf_dir):
-    return pages.extract_text(doc_pages(spark, sf_dir))
+    return pages.extract_row_text(docs(spark, sf_dir))
 
 
 @query("filter_surfaces", f"""with {SURFACES} select doc_id, surface, field, seq, md5(value) as value_hash, 'forms' as dropped from surfaces where surface <> 'form_fields'

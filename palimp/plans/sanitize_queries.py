@@ -116,6 +116,19 @@ def code_lookup(spark, sf_dir):
     return lookup.describe_codes(table(spark, sf_dir, "events"), code(0), code(1)).select("event_id", "event_type", "fires", "does")
 
 
+# Paths of actions, one for each type of event.
+_PATHS = {"click": ("Page 1 /AA /D", "URI"), "view": ("Page 2 /AA /O /Next", "Named"), "purchase": ("Field /AA /V", "SubmitForm"), "signup": ("Link /A", "Other"), "error": ("Catalog /OpenAction", "JavaScript")}
+_WORDING = {"click": "fires on mouse-down in the field; opens a URL", "view": "fires when the page is opened; runs a named viewer command",
+            "purchase": "fires when the field is validated; submits form data over the network", "signup": "fires automatically; runs an action",
+            "error": "fires as soon as the document is opened; runs embedded JavaScript"}
+
+
+@query("autorun_wording", "select event_id, case event_type " + " ".join(f"when '{e}' then {lit(_PATHS[e][0] + ' \u2014 ' + w)}" for e, w in _WORDING.items()) + " end as description from events")
+def autorun_wording(spark, sf_dir):
+    pick = lambda i: F.coalesce(*[F.when(F.col("event_type") == e, F.lit(p[i])) for e, p in _PATHS.items()])
+    return lookup.describe_autorun(table(spark, sf_dir, "events"), pick(0), pick(1)).select("event_id", "description")
+
+
 _ROUTES = f"routes as ({tables.ROUTES_SQL.format(nation='nation')})"
 
 

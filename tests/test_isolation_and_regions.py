@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimp import model
 from palimp.functions.matching import Matcher
-from palimp.operators import audit, batch, pages as page_ops, redact, verify
+from palimp.operators import audit, batch, lookup, pages as page_ops, redact, verify
+from palimp.sources.surfaces import paginate
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +112,20 @@ def test_ranges_and_chapters_in_error_say_so(spark):
     assert [r.text for r in sorted(picked, key=lambda r: r.pos or 0) if r.doc_id == 1] == ["1.2", "1.3", "1.1"]
     assert {r.doc_id: r.status for r in picked if r.status != "ok"} == {2: "invalid range", 5: "no page", 6: "invalid range"}
     assert sum(r.doc_id in (3, 4) for r in picked) == 10
+
+
+def test_text_inside_the_row_equals_text_of_pages(spark):
+    docs = spark.createDataFrame([(1, "\n".join(map(str, range(23)))), (2, ""), (3, None)], "doc_id bigint, text string")
+    rows = {tuple(r) for r in page_ops.extract_row_text(docs).collect()}
+    assert rows == {tuple(r) for r in page_ops.extract_text(paginate(docs)).collect()} and len(rows) == 2
+    picked = {r.doc_id: r for r in page_ops.extract_row_text(docs, spec=F.lit("3, 1")).collect()}
+    assert picked[1].page_count == 2 and picked[1].text.startswith("--- Page 3 ---\n20\n21\n22\n") and picked[2].text is None
+    assert "Exchange" not in page_ops.extract_row_text(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_when_an_action_runs(spark):
+    rows = spark.createDataFrame([("Catalog /OpenAction /Next", "URI"), ("Page 1 /AA /WC /Next", "JavaScript"), ("Field /AA /Zz", "?"), ("Field /AA", "Launch"), ("Link /A", "Named")], "w string, a string")
+    got = {r.w: r.description.split(" — ")[1] for r in lookup.describe_autorun(rows, F.col("w"), F.col("a")).collect()}
+    assert got == {"Catalog /OpenAction /Next": "fires as soon as the document is opened; opens a URL", "Page 1 /AA /WC /Next": "fires just before the document is closed; runs embedded JavaScript",
+                   "Field /AA /Zz": "fires on the Zz event; runs an action", "Field /AA": "fires automatically; launches an external program or file",
+                   "Link /A": "fires automatically; runs a named viewer command"}
